@@ -60,3 +60,15 @@ def flag(df: DataFrame, key: str, words: DataFrame, m: int, name: str) -> DataFr
         hit.append(F.expr(f"coalesce(shiftrightunsigned({b}, cast(__kl_s{i} & 63 as int)) & 1L, 0L) = 1L"))
     df = df.withColumn(name, reduce(lambda a, b: a & b, hit))
     return df.drop(*[f"__kl_{c}{i}" for i in range(HASHES) for c in "swb"])
+
+
+def drop_ids(docs: DataFrame, losers: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the rows whose id is in ``losers`` (its column ``id_col``).
+
+    Rows that the filter of the losers' ids rules out pass straight through; only the others
+    are exchanged.
+    """
+    m = slots_for(losers.count())
+    tested = flag(docs, id_col, member_words(losers, id_col, m), m, "__kl_maybe")
+    stay = tested.filter("__kl_maybe").join(losers.select(id_col).distinct(), id_col, "left_anti")
+    return tested.filter("not __kl_maybe").select(docs.columns).unionByName(stay.select(docs.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm import exact_dedup, html_text, langid, packing, pii, shard, url_filter
+from kinlink.llm import exact_dedup, html_text, langid, packing, pii, setjoin, shard, url_filter
 
 #: Production parameters of the queries.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -39,6 +39,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.link(_table(spark, sf_dir, "documents"), words=3, num=90, den=100, miss=0.0)
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.place(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
@@ -60,7 +64,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op8_shard": op8_sql(), "op10_url_filter": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_shard": op8_sql(), "op10_url_filter": OP10_SQL}
 
 
 OP1_SQL = """
@@ -70,6 +74,24 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+sets AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END)) AS s FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * i >= 90 * (p.n + q.n - i)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r FROM reach JOIN edges e ON e.x = reach.doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT doc_id, min(r) AS m FROM reach GROUP BY 1) USING (doc_id)
+"""
+
+
 def op8_sql() -> str:
     owners = ",".join(map(str, shard.lookup_table(SHARDS)))
     return f"""
