@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm import exact_dedup, html_text, langid, packing, pii, setjoin, shard, url_filter
+from kinlink.llm import exact_dedup, html_text, langid, packing, pii, setjoin, shard, substring, url_filter
 
 #: Production parameters of the queries.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -43,6 +43,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.link(_table(spark, sf_dir, "documents"), words=3, num=90, den=100, miss=0.0)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_table(spark, sf_dir, "documents"), window=35)
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.place(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
@@ -64,7 +68,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_shard": op8_sql(), "op10_url_filter": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_ngram_jaccard": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_shard": op8_sql(), "op10_url_filter": OP10_SQL}
 
 
 OP1_SQL = """
@@ -92,6 +96,22 @@ FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT doc_id, min(r) AS m
 """
 
 
+OP7_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+win AS (
+  SELECT doc_id, unnest(range(1, len(words) - 33)) AS i, unnest(list_transform(range(1, len(words) - 33), lambda i: md5(array_to_string(words[i:i + 34], ' ')))) AS h FROM w),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM win) WHERE n > 1),
+word AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word FROM w),
+mark AS (
+  SELECT word.doc_id, word.i, word, max(a.i) OVER (PARTITION BY word.doc_id ORDER BY word.i) AS last FROM word LEFT JOIN again a ON a.doc_id = word.doc_id AND a.i = word.i),
+agg AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (last IS NOT NULL AND i - last < 35) AS n_removed,
+    string_agg(word, ' ' ORDER BY i) FILTER (last IS NULL OR i - last >= 35) AS kept FROM mark GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN agg USING (doc_id)
+"""
+
+
 def op8_sql() -> str:
     owners = ",".join(map(str, shard.lookup_table(SHARDS)))
     return f"""
