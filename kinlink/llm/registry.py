@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm import exact_dedup, html_text, langid, packing, pii, setjoin, shard, substring, url_filter
+from kinlink.llm import decontaminate, exact_dedup, html_text, langid, packing, pii, setjoin, shard, substring, url_filter
 
 #: Production parameters of the queries.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -35,6 +35,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
