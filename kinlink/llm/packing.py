@@ -16,8 +16,8 @@ empty result.
 from __future__ import annotations
 
 import functools
-import itertools
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -31,37 +31,39 @@ from kinlink.plans.scratch import keep, ship
 
 SIZE = 4096
 END_ID = 1
-#: Distinct words whose ids a worker remembers.
-CACHE = 200_000
+#: Distinct strings whose ids a worker remembers, of each kind and turn.
+CACHE = 250_000
 #: Pieces ranked together, on average.
 BLOCK_PIECES = 50_000
 
 # The tokenizer's normaliser only lower-cases and joins white space in texts of these
 # characters; other texts take the library's whole path.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff‐-―‘-‟…€]*")
+_PLAIN_CHARS = [c for c in map(chr, range(0x10000)) if _PLAIN.fullmatch(c)]
 
 
-class _Words(dict):
-    """Ids of a word, remembered up to CACHE words."""
+class _Known(dict):
+    """Ids of a string as little-endian bytes, made by ``make``.  The strings used since the last
+    turn and those of the turn before are remembered, CACHE each."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, make):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.make, self.older = make, {}
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, key: str) -> bytes:
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
-        ids = self[word] = self.tokenizer.encode(word, add_special_tokens=False).ids
+        ids = self[key] = self.older.get(key) or self.make(key)
         return ids
 
 
 @functools.cache
 def _loaded(path: str):
-    """The tokenizer, and its split pattern if words can be encoded one by one."""
+    """Ids of a text; those of a run without white space, if runs can be encoded one by one; special strings."""
     import json
     import os
 
-    import regex
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,15 +74,37 @@ def _loaded(path: str):
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
     plain = kinds == ["NFC", "Replace", "Lowercase"] and len(steps) == 2 and steps[0]["type"] == "Split" and steps[0]["invert"] and steps[1]["type"] == "ByteLevel" and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"]
     special = [x["content"] for x in spec.get("added_tokens", [])]
-    return tokenizer, regex.compile(steps[0]["pattern"]["Regex"]).findall if plain else None, special, _Words(tokenizer)
 
+    def encode(text: str) -> bytes:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-def token_ids(text: str, path: str) -> list[int]:
-    """The ids that the tokenizer gives, word by word where that is the same."""
-    tokenizer, words, special, known = _loaded(path)
-    if words is None or not _PLAIN.fullmatch(text) or any(s in text for s in special):
-        return tokenizer.encode(text, add_special_tokens=False).ids
-    return list(itertools.chain.from_iterable(map(known.__getitem__, words(text.lower()))))
+    if not plain:
+        return encode, None, special
+    # The split pattern over the plain characters only, and the byte-level alphabet: bytes that aren't
+    # printable in Latin-1 are moved behind U+0100, in turn.
+    low = sorted({c for x in _PLAIN_CHARS for c in x.lower()})
+    split = steps[0]["pattern"]["Regex"]
+    for kind in "LN":
+        split = split.replace(rf"\p{{{kind}}}", re.escape("".join(c for c in low if unicodedata.category(c)[0] == kind)))
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    moved = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
+    letters = [chr(moved.get(b, b)) for b in range(256)]
+
+    def word_bytes(word: str) -> bytes:
+        mapped = word if word.isascii() else "".join([letters[b] for b in word.encode()])
+        return np.array([t.id for t in tokenizer.model.tokenize(mapped)], "<u4").tobytes()
+
+    words, known = re.compile(split).findall, _Known(word_bytes)
+    return encode, _Known(lambda run: b"".join(map(known.__getitem__, words(run)))), special
+
+
+def token_bytes(text: str, path: str) -> bytes:
+    """The ids that the tokenizer gives, as little-endian bytes; by runs without white space where
+    that is the same, since no token of this tokenizer's pattern spans white space."""
+    encode, runs, special = _loaded(path)
+    if runs is None or not _PLAIN.fullmatch(text) or any(s in text for s in special):
+        return encode(text)
+    return b"".join(map(runs.__getitem__, text.lower().split()))
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end_id: int = END_ID) -> DataFrame:
@@ -88,15 +112,16 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
+    end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                ids = np.array([*token_ids(text.as_py() or "", tokenizer), end_id], "<u4")
-                for k, at in enumerate(range(0, len(ids), size)):
-                    part = ids[at : at + size]
-                    out.append((doc, k, at, len(part), zlib.crc32(part.tobytes())))
+                ids = memoryview(token_bytes(text.as_py() or "", tokenizer) + end)
+                for k, at in enumerate(range(0, len(ids), 4 * size)):
+                    part = ids[at : at + 4 * size]
+                    out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             cols = list(zip(*out)) or [()] * 5
             types = (b.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "piece", "start", "length", "ids_crc32"])
