@@ -41,10 +41,11 @@ STEP = 5
 #: Bits of the bitmap of repeated anchors: 2**28 bits are 32 MB on each worker.
 MAX_BITS = 28
 #: Words of strips, or anchors, gathered by a task before it sends them.
-FLUSH_WORDS = 6_000_000
+FLUSH_WORDS = 2_000_000
+FLUSH_STRIPS = 20_000
 FLUSH_ANCHORS = 1 << 20
-#: Words looked at together, so that a place fits beside its hash in 64 bits.
-SEGMENT = 1 << 22
+#: Words looked at together; a place among them fits beside its hash in 64 bits.
+SEGMENT = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 #: A null id inside this module.
 _NULL = -(1 << 63)
@@ -82,9 +83,11 @@ def _runs(h: np.ndarray, at: np.ndarray, window: int) -> Iterator[tuple[np.ndarr
 
 
 def _anchor_hash(h: np.ndarray, places: np.ndarray) -> np.ndarray:
-    x = mix(h[places] + np.uint64(GRAM))
+    """Hash of the GRAM words from each place; not the order by which anchors are chosen, since the
+    least of many hashes are all small and would meet in a few partitions."""
+    x = mix(h[places])
     for i in range(1, GRAM):
-        x = mix(x * np.uint64(0xA24BAED4963EE407) + h[places + i])
+        x = mix(x * np.uint64(0x8CB92BA72F3D8DD7) + h[places + i])
     return x
 
 
@@ -142,11 +145,22 @@ def _repeated_anchors(docs: DataFrame, window: int, bits: int, slices: int) -> n
     return out
 
 
-def _pack(strips: list[tuple[int, int, int, int, int, np.ndarray]]) -> bytes:
-    """Strips (id, text hash, first, last, anchor place, words) in one block; 48 bits a word."""
-    head = np.array([s[:5] for s in strips], np.int64)
-    words = np.concatenate([s[5] for s in strips])
-    return b"".join((np.int64(len(strips)).tobytes(), head.tobytes(), (words >> np.uint64(32)).astype(np.uint32).tobytes(), (words >> np.uint64(16)).astype(np.uint16).tobytes()))
+def _pack(head: np.ndarray, words: np.ndarray) -> bytes:
+    """Strips (rows of head: id, text hash, first, last, anchor place) and their words, 48 bits each."""
+    return b"".join((np.int64(len(head)).tobytes(), head.tobytes(), (words >> np.uint64(32)).astype(np.uint32).tobytes(), (words >> np.uint64(16)).astype(np.uint16).tobytes()))
+
+
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places starts[i], starts[i] + 1, ... of all stretches, one after the other."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
+def _contents(words: np.ndarray, lengths: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A hash of each strip's words and of its anchor's place in it."""
+    begin = np.cumsum(lengths) - lengths
+    within = np.arange(len(words)) - np.repeat(begin, lengths)
+    x = mix(words + mix(within.astype(np.uint64) + np.uint64(1)))
+    return mix(np.add.reduceat(x, begin) + (places.astype(np.uint64) << np.uint64(32)) + lengths.astype(np.uint64))
 
 
 def _unpack(payload: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,46 +202,45 @@ def _ranges(docs: DataFrame, bitmap: np.ndarray, bits: int, window: int, parts:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(shared.value, np.uint8)
-        waiting: list[tuple[int, tuple]] = []
-        size = 0
+        heads: list[np.ndarray] = []
+        strips: list[np.ndarray] = []
+        anchors: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            out = []
-            seen: dict[bytes, list[tuple[int, tuple]]] = {}
-            for anchor, s in waiting:
-                seen.setdefault(s[5].tobytes() + (s[4] - s[2]).to_bytes(4, "little"), []).append((anchor, s))
-            waiting.clear()
-            by: dict[int, list[tuple]] = {}
-            ready = []
-            for same in seen.values():
-                anchor, s = same[0]
-                by.setdefault(anchor * parts >> 64, []).append(s)
-                if len(same) > 1:
-                    ready += [x[:4] for _, x in same]
-            for p, strips in by.items():
-                out.append((p, False, _pack(strips)))
-            for a in range(0, len(ready), 4096):
-                chunk = np.array(ready[a : a + 4096], np.int64)
-                out.append((int(chunk[0].sum()) % parts, True, chunk.tobytes()))
+            head, words, part = np.concatenate(heads), np.concatenate(strips), _part_of(np.concatenate(anchors), parts)
+            heads.clear(), strips.clear(), anchors.clear()
+            lengths = head[:, 3] - head[:, 2] + window
+            begin = np.cumsum(lengths) - lengths
+            _, once, which, n = np.unique(_contents(words, lengths, head[:, 4] - head[:, 2]), return_index=True, return_inverse=True, return_counts=True)
+            ready = head[n[which] > 1, :4]
+            out = [(int(k) % parts, True, np.ascontiguousarray(ready[a : a + 4096]).tobytes()) for k, a in zip(part[n[which] > 1][::4096] * 31, range(0, len(ready), 4096))]
+            once = once[np.argsort(part[once], kind="stable")]
+            at = np.searchsorted(part[once], np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(at)).tolist():
+                own = once[at[p] : at[p + 1]]
+                out.append((p, False, _pack(head[own], words[_spread(begin[own], lengths[own])])))
             return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.bool_(), pa.binary()))], ["part", "ready", "payload"])
 
+        size = 0
         for b in batches:
             h, at = hash_words(b.column("text"))
             ids = b.column("id").to_numpy(zero_copy_only=False)
             ths = b.column("th").to_numpy(zero_copy_only=False)
-            short = h & ~np.uint64(0xFFFF)
             for doc, first, last, place in _runs(h, at, window):
                 anchor = _anchor_hash(h, place)
                 slot = anchor >> np.uint64(64 - bits)
                 hit = np.flatnonzero(marks[(slot >> np.uint64(3)).astype(np.int64)] >> (7 - (slot & np.uint64(7)).astype(np.uint8)) & 1)
-                for d, f, e, p, a in zip(doc[hit].tolist(), first[hit].tolist(), last[hit].tolist(), place[hit].tolist(), anchor[hit].tolist()):
-                    o = int(at[d])
-                    waiting.append((a, (int(ids[d]), int(ths[d]), f - o, e - o, p - o, short[f : e + window])))
-                    size += e + window - f
+                for k in range(0, len(hit), FLUSH_STRIPS):
+                    own = hit[k : k + FLUSH_STRIPS]
+                    d, f, e = doc[own], first[own], last[own]
+                    heads.append(np.stack((ids[d], ths[d], f - at[d], e - at[d], place[own] - at[d]), 1).astype(np.int64))
+                    strips.append(h[_spread(f, e - f + window)] & ~np.uint64(0xFFFF))
+                    anchors.append(anchor[own])
+                    size += len(strips[-1])
                     if size >= FLUSH_WORDS:
                         yield flush()
                         size = 0
-        if waiting:
+        if heads:
             yield flush()
 
     def meet(table: pa.Table) -> pa.Table:
