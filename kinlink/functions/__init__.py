@@ -1 +1 @@
-"""Placeholder."""
+"""Scalar building blocks: text folding, transliteration, string scorers."""

@@ -1 +1 @@
-"""Placeholder."""
+"""Record linkage operators: functions from DataFrames to DataFrames."""

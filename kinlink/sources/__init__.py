@@ -1 +1 @@
-"""Placeholder."""
+"""Reading and writing of record tables."""

@@ -1 +1 @@
-"""Placeholder."""
+"""Streams of query records against a fixed index."""
