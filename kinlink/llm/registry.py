@@ -145,9 +145,13 @@ v AS (
   SELECT lvl, count(*) AS k, any_value(p) AS p, (sum((bad / n - p) ** 2 * n) - (count(*) - 1) * any_value(p * (1 - p))) / sum(n) AS v
   FROM (SELECT 1 AS lvl, n, bad FROM c1 UNION ALL SELECT 2, n, bad FROM c2 UNION ALL SELECT 3, n, bad FROM c3) x, (SELECT p FROM total) t GROUP BY lvl),
 s AS (SELECT lvl, CASE WHEN p <= 0 OR p >= 1 THEN 1 WHEN k < 2 OR v <= 0 THEN 1000 ELSE least(1000, greatest(1, p * (1 - p) / v - 1)) END AS s FROM v),
-m1 AS (SELECT suffix, n, bad + p * s AS a, n - bad + (1 - p) * s AS b FROM c1, total t(tn, p), s WHERE lvl = 1),
-m2 AS (SELECT c2.suffix, domain, c2.n, c2.bad + a / (a + b) * s AS a2, c2.n - c2.bad + (1 - a / (a + b)) * s AS b2 FROM c2 JOIN m1 USING (suffix), s WHERE lvl = 2),
-m3 AS (SELECT c3.suffix, domain, host, c3.n, c3.bad + a2 / (a2 + b2) * s AS a3, c3.n - c3.bad + (1 - a2 / (a2 + b2)) * s AS b3 FROM c3 JOIN m2 USING (suffix, domain), s WHERE lvl = 3),
+k AS (SELECT max(s) FILTER (lvl = 1) AS s1, max(s) FILTER (lvl = 2) AS s2, max(s) FILTER (lvl = 3) AS s3 FROM s),
+p1 AS (SELECT suffix, c1.n, c1.bad, p AS q FROM c1, total t(tn, p)),
+p2 AS (SELECT c2.suffix, domain, c2.n, c2.bad, (p1.bad - c2.bad + p1.q * s1) / (p1.n - c2.n + s1) AS q FROM c2 JOIN p1 USING (suffix), k),
+p3 AS (SELECT c3.suffix, domain, host, c3.n, c3.bad, (p2.bad - c3.bad + p2.q * s2) / (p2.n - c3.n + s2) AS q FROM c3 JOIN p2 USING (suffix, domain), k),
+m1 AS (SELECT suffix, bad + q * s1 AS a, n - bad + (1 - q) * s1 AS b FROM p1, k),
+m2 AS (SELECT domain, bad + q * s2 AS a2, n - bad + (1 - q) * s2 AS b2 FROM p2, k),
+m3 AS (SELECT host, bad + q * s3 AS a3, n - bad + (1 - q) * s3 AS b3 FROM p3, k),
 b1 AS (SELECT suffix, round(a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)), 9) AS x1 FROM m1),
 b2 AS (SELECT domain, round(a2 / (a2 + b2) - 1.645 * sqrt(a2 / (a2 + b2) * (1 - a2 / (a2 + b2)) / (a2 + b2 + 1)), 9) AS x2 FROM m2),
 b3 AS (SELECT host, round(a3 / (a3 + b3) - 1.645 * sqrt(a3 / (a3 + b3) * (1 - a3 / (a3 + b3)) / (a3 + b3 + 1)), 9) AS x3 FROM m3),

@@ -3,7 +3,7 @@
 Labelled page outcomes (bad or not) are counted per host.  The bad rate of a host is shrunk
 towards that of its registered domain, that towards its suffix, and that towards all pages,
 each by a beta prior whose strength comes from the spread of the children's rates (method
-of moments).  A page is blocked where the lower posterior bound of its host's bad rate is above
+of moments); the prior of a member leaves its own pages out.  A page is blocked where the lower posterior bound of its host's bad rate is above
 a threshold; hosts without labels take the posterior of the nearest level that has some.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule and
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinlink.plans.scratch import keep
+
 LEVELS = ("suffix", "domain", "host")
 #: A reputation table of more rows than this is joined by an exchange instead of a broadcast.
 BROADCAST_ROWS = 200_000
@@ -57,29 +59,34 @@ def _strength(counts: DataFrame, p: float, least: float = 1.0, most: float = 100
     return most if v <= 0 else min(most, max(least, p * (1 - p) / v - 1))
 
 
-def reputation(labelled: DataFrame, z: float, threshold: float, most: float = 1000.0) -> tuple[list[DataFrame], float]:
+def reputation(labelled: DataFrame, z: float, most: float = 1000.0) -> tuple[list[DataFrame], float]:
     """Per level a table (key, posterior bound), and the bound of a page with no level known.
 
     ``labelled``: (host, domain, suffix, bad 0/1).  Counting is combined on the map side, so a
     host with a third of all labels is one counter per task.
     """
-    total = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad")).first()
-    p = (total["bad"] or 0) / total["n"] if total["n"] else 0.0
-    counts = {k: labelled.groupBy(*LEVELS[: i + 1]).agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad")) for i, k in enumerate(LEVELS)}
-    parent = None
-    tables = []
+    hosts = keep(labelled.groupBy(*LEVELS).agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad")), "host-counts")
+    counts = {k: hosts.groupBy(*LEVELS[: i + 1]).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")) for i, k in enumerate(LEVELS)}
+    total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
+    n = total["n"] or 0
+    p = (total["bad"] or 0) / n if n else 0.0
+    tables, above = [], None
     for i, k in enumerate(LEVELS):
         s = _strength(counts[k], p, most=most)
-        t = counts[k].withColumn("prior", F.lit(p)) if parent is None else counts[k].join(parent, list(LEVELS[:i]))
+        t = counts[k]
+        if above is None:
+            t = t.withColumn("prior", F.lit(p))
+        else:  # what the level above says without this member's own pages, so that none counts twice
+            other = (F.col("bad_above") - F.col("bad") + F.col("prior_above") * strength) / (F.col("n_above") - F.col("n") + strength)
+            t = t.join(above, list(LEVELS[:i])).withColumn("prior", other)
         a = F.col("bad") + F.col("prior") * s
         b = F.col("n") - F.col("bad") + (1 - F.col("prior")) * s
         mean = a / (a + b)
-        sd = F.sqrt(mean * (1 - mean) / (a + b + 1))
-        t = t.withColumn("mean", mean).withColumn("bound", mean - z * sd)
+        t = t.withColumn("bound", mean - z * F.sqrt(mean * (1 - mean) / (a + b + 1)))
         tables.append(t.select(F.col(k).alias(f"__kl_{k}"), F.round("bound", 9).alias(f"__kl_bound_{k}")))
-        parent = t.select(*LEVELS[: i + 1], F.col("mean").alias("prior"))
-    sd = (p * (1 - p) / (total["n"] + 1)) ** 0.5 if total["n"] else 0.0
-    return tables, p - z * sd
+        above = t.select(*LEVELS[: i + 1], F.col("n").alias("n_above"), F.col("bad").alias("bad_above"), F.col("prior").alias("prior_above"))
+        strength = s
+    return tables, p - z * ((p * (1 - p) / (n + 1)) ** 0.5 if n else 0.0)
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", z: float = 1.645, threshold: float = 0.5) -> DataFrame:
@@ -93,7 +100,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str
     urls = _levels(urls).withColumn("rule", rule).withColumn("by_rule", verdict)
     marked = outcomes.filter("id is not null and bad is not null").groupBy("id").agg(F.max("bad").alias("bad"))
     labelled = urls.join(marked, "id").select(*LEVELS, "bad")
-    tables, default = reputation(labelled, z, threshold)
+    tables, default = reputation(labelled, z)
     for k, t in zip(LEVELS, tables):
         small = t.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         urls = urls.join(F.broadcast(t) if small else t, F.col(k) == F.col(f"__kl_{k}"), "left")
