@@ -45,6 +45,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded for the comparison. Cosines are rounded to 9 digits already: 12 for what follows from them,
+    as a second, coarser rounding would meet exact halves."""
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
@@ -169,14 +171,14 @@ def tfidf_weights(spark, sf_dir):
 @query(S.TOP_NAME)
 def cosine_topk_name(spark, sf_dir):
     index, q = short_records(spark, sf_dir)
-    return rounded(retrieval.top_k(retrieval.cosines(index, q, "ntok", **CAP), "cos", 10, "rk"))
+    return rounded(retrieval.top_k(retrieval.cosines(index, q, "ntok", **CAP), "cos", 10, "rk"), 12)
 
 
 @query(S.TOP_BOTH)
 def cosine_topk_combined(spark, sf_dir):
     index, q = short_records(spark, sf_dir)
     both = retrieval.both_channels(retrieval.cosines(index, q, "ntok", **CAP), retrieval.cosines(index, q, "atok", **CAP))
-    return rounded(retrieval.top_k(both, "cos_c", 15, "rk"))
+    return rounded(retrieval.top_k(both, "cos_c", 15, "rk"), 12)
 
 
 @query(S.KEY_CANDIDATES)
@@ -190,13 +192,13 @@ def _candidates(spark, sf_dir):
 
 @query(S.CANDIDATES)
 def candidate_union(spark, sf_dir):
-    return rounded(_candidates(spark, sf_dir))
+    return rounded(_candidates(spark, sf_dir), 12)
 
 
 @query(S.STAGE1)
 def stage1_features(spark, sf_dir):
     c = keep(_candidates(spark, sf_dir), "candidates")
-    return rounded(features.stage1(c, linkage.FLAGS).drop(*linkage.FLAGS, "rk_n", "rk_a", "rk_c"))
+    return rounded(features.stage1(c, linkage.FLAGS).drop(*linkage.FLAGS, "rk_n", "rk_a", "rk_c"), 12)
 
 
 @query(S.CASCADE)

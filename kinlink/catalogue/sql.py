@@ -139,11 +139,11 @@ c{x} AS (SELECT q.id AS qi, s.id AS si, round(sum(q.w * s.w), 9) AS cos FROM u{x
 
 VOCABULARY = _BAGS + _channel("n") + " SELECT country, tok, df, round(idf, 6) AS idf FROM vn"
 WEIGHTS = _BAGS + _channel("a") + " SELECT id, country, tok, round(w, 6) AS w FROM ua WHERE side <> 1"
-TOP_NAME = _BAGS + _channel("n") + " SELECT qi, si, round(cos, 6) AS cos, rk FROM (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY cos DESC, si) - 1 AS rk FROM cn WHERE cos > 1e-6) WHERE rk < 10"
+TOP_NAME = _BAGS + _channel("n") + " SELECT qi, si, round(cos, 12) AS cos, rk FROM (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY cos DESC, si) - 1 AS rk FROM cn WHERE cos > 1e-6) WHERE rk < 10"
 _BOTH = _BAGS + _channel("n") + _channel("a") + """,
 both AS (SELECT qi, si, coalesce(cn.cos, 0) AS cos_n, coalesce(ca.cos, 0) AS cos_a FROM cn FULL JOIN ca USING (qi, si)),
-scored AS (SELECT *, round((cos_n + cos_a) / 2, 9) AS cos_c FROM both)""".replace("both AS", "pair AS").replace("FROM both", "FROM pair")
-TOP_BOTH = _BOTH + """ SELECT qi, si, round(cos_n, 6) AS cos_n, round(cos_a, 6) AS cos_a, round(cos_c, 6) AS cos_c, rk
+scored AS (SELECT *, (cos_n + cos_a) / 2 AS cos_c FROM both)""".replace("both AS", "pair AS").replace("FROM both", "FROM pair")
+TOP_BOTH = _BOTH + """ SELECT qi, si, round(cos_n, 12) AS cos_n, round(cos_a, 12) AS cos_a, round(cos_c, 12) AS cos_c, rk
 FROM (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY cos_c DESC, si) - 1 AS rk FROM scored WHERE cos_c > 1e-6) WHERE rk < 15"""
 _CAPS = {"core_pn": 50, "skel_pn": 50, "cat_pn": 50, "core": 10, "skel": 10, "cat": 10}
 _KEYED = """,
@@ -160,17 +160,17 @@ cut AS (SELECT qi, si, cos_n, cos_a, cos_c, CASE WHEN a < 10 AND cos_n > 1e-6 TH
 cand AS (
   SELECT qi, si, coalesce(cos_n, 0) AS cos_n, coalesce(cos_a, 0) AS cos_a, coalesce(cos_c, 0) AS cos_c, coalesce(rk_n, 99) AS rk_n, coalesce(rk_a, 99) AS rk_a, coalesce(rk_c, 99) AS rk_c, {_FLAG_NAMES}
   FROM cut FULL JOIN flags USING (qi, si) WHERE least(coalesce(rk_n, 99), coalesce(rk_a, 99), coalesce(rk_c, 99)) < 99 OR flags.qi IS NOT NULL)"""
-CANDIDATES = _UNION + " SELECT * REPLACE (round(cos_n, 6) AS cos_n, round(cos_a, 6) AS cos_a, round(cos_c, 6) AS cos_c) FROM cand"
+CANDIDATES = _UNION + " SELECT * REPLACE (round(cos_n, 12) AS cos_n, round(cos_a, 12) AS cos_a, round(cos_c, 12) AS cos_c) FROM cand"
 STAGE1 = _UNION + """,
 f AS (
-  SELECT qi, si, cos_n, cos_a, round((cos_n + cos_a) / 2, 9) AS cos_c, kf_core_pn + kf_skel_pn + kf_cat_pn + kf_core + kf_skel + kf_cat AS n_keyed, count(*) OVER (PARTITION BY qi) AS n_cand FROM cand),
+  SELECT qi, si, cos_n, cos_a, (cos_n + cos_a) / 2 AS cos_c, kf_core_pn + kf_skel_pn + kf_cat_pn + kf_core + kf_skel + kf_cat AS n_keyed, count(*) OVER (PARTITION BY qi) AS n_cand FROM cand),
 g AS (
   SELECT *, max(cos_n) OVER q AS qmax_n, max(cos_a) OVER q AS qmax_a, max(cos_c) OVER q AS qmax_c, row_number() OVER (PARTITION BY qi ORDER BY cos_n DESC, si) AS urk_n,
     row_number() OVER (PARTITION BY qi ORDER BY cos_a DESC, si) AS urk_a, row_number() OVER (PARTITION BY qi ORDER BY cos_c DESC, si) AS urk_c FROM f WINDOW q AS (PARTITION BY qi)),
 h AS (SELECT *, max(CASE WHEN urk_c = 2 THEN cos_c END) OVER (PARTITION BY qi) AS second FROM g)
-SELECT qi, si, round(cos_n, 6) AS cos_n, round(cos_a, 6) AS cos_a, round(cos_c, 6) AS cos_c, n_keyed, n_cand, round(qmax_n, 6) AS qmax_n, round(qmax_a, 6) AS qmax_a, round(qmax_c, 6) AS qmax_c, urk_n, urk_a, urk_c,
-  round(qmax_n - cos_n, 6) AS gap_n, round(qmax_a - cos_a, 6) AS gap_a, round(qmax_c - cos_c, 6) AS gap_c,
-  round(CASE WHEN urk_c = 1 THEN cos_c - coalesce(second, cos_c) ELSE cos_c - qmax_c END, 6) AS marg_c FROM h"""
+SELECT qi, si, round(cos_n, 12) AS cos_n, round(cos_a, 12) AS cos_a, round(cos_c, 12) AS cos_c, n_keyed, n_cand, round(qmax_n, 12) AS qmax_n, round(qmax_a, 12) AS qmax_a, round(qmax_c, 12) AS qmax_c, urk_n, urk_a, urk_c,
+  round(qmax_n - cos_n, 12) AS gap_n, round(qmax_a - cos_a, 12) AS gap_a, round(qmax_c - cos_c, 12) AS gap_c,
+  round(CASE WHEN urk_c = 1 THEN cos_c - coalesce(second, cos_c) ELSE cos_c - qmax_c END, 12) AS marg_c FROM h"""
 CASCADE = f"""
 SELECT qi, si, round(p2, 6) AS p2, p1rk, round(max(p2) OVER (PARTITION BY qi), 6) AS p1max, round(sum(p2) OVER (PARTITION BY qi), 6) AS p1sum
 FROM (SELECT qi, si, p2, row_number() OVER (PARTITION BY qi ORDER BY p2 DESC, si) AS p1rk FROM ({A.CLAIMS})) WHERE p1rk <= 3

@@ -34,9 +34,14 @@ def ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter string with a stretch of the longer one of at most its length."""
-    if len(a) > len(b):
-        a, b = b, a
+    """The best ratio of the shorter string with a stretch of the longer one of at most its length; of
+    equally long ones, either may be the shorter."""
+    if len(a) == len(b):
+        return max(_best_stretch(a, b), _best_stretch(b, a))
+    return _best_stretch(*sorted((a, b), key=len))
+
+
+def _best_stretch(a: str, b: str) -> float:
     if not a:
         return 100.0 if not b else 0.0
     if a in b:

@@ -59,7 +59,7 @@ def both_channels(names: DataFrame, addresses: DataFrame) -> DataFrame:
     """(qi, si, cos_n, cos_a, cos_c): exact cosines of all pairs of either channel."""
     n, a = names.withColumnRenamed("cos", "cos_n"), addresses.withColumnRenamed("cos", "cos_a")
     both = n.join(a, ["qi", "si"], "full").fillna(0.0, ["cos_n", "cos_a"])
-    return both.withColumn("cos_c", F.round((F.col("cos_n") + F.col("cos_a")) / 2, 9))
+    return both.withColumn("cos_c", (F.col("cos_n") + F.col("cos_a")) / 2)
 
 
 def key_candidates(index: DataFrame, queries: DataFrame, caps: dict[str, int] = KEY_CAPS) -> DataFrame:
