@@ -72,7 +72,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_ngram_jaccard": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_shard": op8_sql(), "op10_url_filter": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_ngram_jaccard": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_shard": _shard_sql(), "op10_url_filter": OP10_SQL}
 
 
 OP1_SQL = """
@@ -116,7 +116,7 @@ FROM documents d LEFT JOIN agg USING (doc_id)
 """
 
 
-def op8_sql() -> str:
+def _shard_sql() -> str:
     owners = ",".join(map(str, shard.lookup_table(SHARDS)))
     return f"""
 WITH placed AS (
