@@ -107,6 +107,11 @@ def name_normalise(spark, sf_dir):
     return _names(spark, sf_dir).select("id", "nm", "core", "skel", "alt", "legal", "dom", "nonlat")
 
 
+@query(S.NAME_TOKENS)
+def name_tokens(spark, sf_dir):
+    return _names(spark, sf_dir).select("id", F.explode(F.split("nm", " ")).alias("tok")).filter("tok <> ''").groupBy("id", "tok").agg(F.count(F.lit(1)).alias("times"))
+
+
 @query(S.NAMES_LEGAL)
 def legal_split(spark, sf_dir):
     return _names(spark, sf_dir).groupBy("legal").agg(F.count(F.lit(1)).alias("records"), F.sum(F.size(F.split("core", " "))).alias("words"))
@@ -137,6 +142,16 @@ def state_lookup(spark, sf_dir):
     return _addresses(spark, sf_dir).groupBy("country", "st").agg(F.count(F.lit(1)).alias("records"))
 
 
+@query(S.ADDRESS_WORDS)
+def addr_words(spark, sf_dir):
+    return _addresses(spark, sf_dir).select("id", F.explode(F.split("ad", " ")).alias("word")).filter("word <> ''").groupBy("word").agg(F.countDistinct("id").alias("records"))
+
+
+@query(S.ADDRESS_PRIMARY)
+def addr_primary_number(spark, sf_dir):
+    return _addresses(spark, sf_dir).filter("pnum <> ''").select("id", "pnum")
+
+
 @query(S.ADDRESS_NUMBERS)
 def addr_numbers(spark, sf_dir):
     return _addresses(spark, sf_dir).select("id", "pnum", F.explode(F.split("nums", " ")).alias("number")).filter("number <> ''")
@@ -151,6 +166,12 @@ def token_bag(spark, sf_dir):
     return r.select("id", F.explode("ntok").alias("tok")).unionByName(r.select("id", F.explode("atok").alias("tok")))
 
 
+@query(S.BIGRAMS)
+def addr_bigrams(spark, sf_dir):
+    r = add_tokens(A.view(spark, sf_dir, A.SHORT_SPARK))
+    return r.select("id", F.explode("atok").alias("tok")).filter("tok like 'b:%'")
+
+
 @query(S.KEYS)
 def blocking_keys(spark, sf_dir):
     return add_tokens(A.view(spark, sf_dir, A.SHORT_SPARK)).select("id", "key_core_pn", "key_skel_pn", "key_cat_pn", "key_core", "key_skel", "key_cat")
@@ -237,6 +258,13 @@ def indel_ratio(spark, sf_dir):
     return rounded(_string_pairs(spark, sf_dir).select("qi", "si", score("ratio", F.col("q_city"), F.col("s_city")).alias("city_ratio")))
 
 
+@query()
+def token_set_ratio(spark, sf_dir):
+    """Token-set similarity of the core names."""
+    ship(spark)
+    return rounded(_string_pairs(spark, sf_dir).select("qi", "si", score("token_set_ratio", F.col("q_core"), F.col("s_core")).alias("n_tset")))
+
+
 @query()
 def string_scores(spark, sf_dir):
     """All similarity scores of the claims' strings."""
@@ -297,6 +325,11 @@ def entity_context(spark, sf_dir):
     return rounded(d.select("qi", "si", *[c for c in d.columns if c.startswith("s_")]))
 
 
+@query(S.BEST_OTHER)
+def best_other(spark, sf_dir):
+    return rounded(context.context(A.view(spark, sf_dir, A.CLAIMS)).groupBy("si").agg(F.max("s_p2max_o").alias("most"), F.min("s_p2max_o").alias("least")))
+
+
 @query(S.WEIGHTED_MODE)
 def weighted_mode(spark, sf_dir):
     return context.weighted_mode(A.view(spark, sf_dir, A.CLAIM_PAIRS), "q_pnum", "p2", "pmode")

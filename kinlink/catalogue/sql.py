@@ -69,6 +69,7 @@ names AS (
     array_to_string(ac, ' ') AS alt, array_to_string(list_sort(list_distinct(list_filter(t, lambda w: list_contains({_LEGAL}, w)))), ' ') AS legal, dom, 0 AS nonlat FROM words)
 """
 NAMES = _NAME_CTE + "SELECT * FROM names"
+NAME_TOKENS = _NAME_CTE + "SELECT id, tok, count(*) AS times FROM (SELECT id, unnest(string_split(nm, ' ')) AS tok FROM names) WHERE tok <> '' GROUP BY ALL"
 NAMES_LEGAL = _NAME_CTE + "SELECT legal, count(*) AS records, sum(len(string_split(core, ' ')))::BIGINT AS words FROM names GROUP BY legal"
 NAMES_DOMAIN = _NAME_CTE + "SELECT id, core FROM names WHERE dom = 1"
 NAMES_ALIAS = _NAME_CTE + "SELECT id, alt, nm FROM names WHERE alt <> ''"
@@ -101,6 +102,8 @@ addresses AS (
 """
 ADDRESSES = _ADDRESS_CTE + "SELECT id, ad, nums, pnum, st, city, ad_empty FROM addresses"
 ADDRESS_STATES = _ADDRESS_CTE + "SELECT country, st, count(*) AS records FROM addresses GROUP BY ALL"
+ADDRESS_WORDS = _ADDRESS_CTE + "SELECT word, count(DISTINCT id) AS records FROM (SELECT id, unnest(string_split(ad, ' ')) AS word FROM addresses) WHERE word <> '' GROUP BY word"
+ADDRESS_PRIMARY = _ADDRESS_CTE + "SELECT id, pnum FROM addresses WHERE pnum <> ''"
 ADDRESS_NUMBERS = _ADDRESS_CTE + "SELECT id, pnum, number FROM (SELECT id, pnum, unnest(string_split(nums, ' ')) AS number FROM addresses) WHERE number <> ''"
 
 _W = "list_filter(string_split({}, ' '), lambda w: w <> '')"
@@ -123,6 +126,7 @@ keys AS (
     CASE WHEN pnum <> '' AND cat <> '' THEN cat || '|' || pnum END AS key_cat_pn, nullif(core, '') AS key_core, nullif(skel, '') AS key_skel, CASE WHEN length(cat) >= 4 THEN cat END AS key_cat FROM bags)
 """
 TOKENS = _BAGS + "SELECT id, unnest(ntok) AS tok FROM bags UNION ALL SELECT id, unnest(atok) FROM bags"
+BIGRAMS = _BAGS + "SELECT id, tok FROM (SELECT id, unnest(atok) AS tok FROM bags) WHERE starts_with(tok, 'b:')"
 KEYS = _BAGS + "SELECT id, key_core_pn, key_skel_pn, key_cat_pn, key_core, key_skel, key_cat FROM keys"
 
 
@@ -268,6 +272,7 @@ e AS (SELECT *, count(*) OVER s AS s_n, sum(p2) OVER s - p2 AS so, row_number()
 o AS (SELECT *, max(CASE WHEN s_srk = 1 THEN p2 END) OVER (PARTITION BY si) AS m1, max(CASE WHEN s_srk = 2 THEN p2 END) OVER (PARTITION BY si) AS m2 FROM e)
 SELECT qi, si, s_n, round(so, 6) AS s_p2sum_o, s_srk, nt::BIGINT AS s_ntop_o, ns::BIGINT AS s_ntop_same_src_o, round(ts / greatest(nt, 1), 6) AS s_top_p2mean_o,
   round(CASE WHEN s_n = 1 THEN 0 WHEN p2 >= m1 THEN m2 ELSE m1 END, 6) AS s_p2max_o FROM o"""
+BEST_OTHER = f"SELECT si, round(max(x), 6) AS most, round(min(x), 6) AS least FROM (SELECT c.si, coalesce((SELECT max(o.p2) FROM ({A.CLAIMS}) o WHERE o.si = c.si AND o.qi <> c.qi), 0) AS x FROM ({A.CLAIMS}) c) GROUP BY si"
 _MODE = "SELECT si, {0} AS m FROM (SELECT *, row_number() OVER (PARTITION BY si ORDER BY w DESC, {0}) AS k FROM (SELECT si, {0}, round(sum(p2), 9) AS w FROM c {1} GROUP BY si, {0})) WHERE k = 1"
 WEIGHTED_MODE = f"WITH c AS ({A.CLAIM_PAIRS}) SELECT si, m AS pmode FROM ({_MODE.format('q_pnum', '')})"
 CONSENSUS = f"""
