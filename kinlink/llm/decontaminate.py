@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.words import hash_words, mix
+from kinlink.llm.words import hash_words, mix, portions
 from kinlink.plans.scratch import ship
 
 SIMILARITY = 0.8
@@ -229,7 +229,7 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 def _search(rows: DataFrame, ids: list, texts: list[str], similarity: float, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = None
-        for b in batches:
+        for b in portions(batches):
             index = index or _Index(ids, texts)
             h, at = hash_words(b.column("text"), lower=True, bare=True)
             found = list(_leaks(index, h, at, similarity)) if len(index.ids) else []

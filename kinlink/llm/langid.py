@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinlink.llm.words import portions
 from kinlink.plans.scratch import ship
 
 DIM = 1024
@@ -111,7 +112,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in portions(batches):
             langs, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
             v = vectors(texts)
             for lang in set(langs):
@@ -136,7 +137,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     schema = base.select("*", F.lit("").alias(lang_col), F.lit(0.0).alias(score_col)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches, text_col):
             v = vectors(b.column(text_col).to_pylist())
             norm = np.linalg.norm(v, axis=1)
             none = (norm == 0) | (not names)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinlink.llm import bloom
-from kinlink.llm.words import chain, hash_words, mix
+from kinlink.llm.words import chain, hash_words, mix, portions
 from kinlink.plans.scratch import keep, ship, shuffle_partitions
 
 WINDOW = 35
@@ -114,7 +114,7 @@ def _repeated_anchors(docs: DataFrame, window: int, bits: int, slices: int) -> n
                 out += [(p, many, y[at[p] : at[p + 1]].tobytes()) for p in np.flatnonzero(np.diff(at)).tolist()]
             return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.bool_(), pa.binary()))], ["part", "many", "payload"])
 
-        for b in batches:
+        for b in portions(batches):
             h, at = hash_words(b.column("text"))
             for _, _, _, place in _runs(h, at, window):
                 waiting.append(_anchor_hash(h, place))
@@ -222,7 +222,7 @@ def _ranges(docs: DataFrame, bitmap: np.ndarray, bits: int, window: int, parts:
             return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.bool_(), pa.binary()))], ["part", "ready", "payload"])
 
         size = 0
-        for b in batches:
+        for b in portions(batches):
             h, at = hash_words(b.column("text"))
             ids = b.column("id").to_numpy(zero_copy_only=False)
             ths = b.column("th").to_numpy(zero_copy_only=False)

@@ -10,12 +10,13 @@ is longer), so the memory beside the hashes does not grow with a text.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-WINDOW = 1 << 20
+WINDOW = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
@@ -122,3 +123,17 @@ def chain(hashes: np.ndarray, words: int) -> np.ndarray:
     for i in range(1, words):
         h = mix(h * _U(0xA24BAED4963EE407) + hashes[i : i + n])
     return h
+
+
+def portions(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``most`` bytes of text, or one row; memory then follows the
+    slice and not the batch."""
+    for b in batches:
+        lengths = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths, dtype=np.int64)
+        at = 0
+        while at < len(b):
+            before = ends[at - 1] if at else 0
+            n = max(1, int(np.searchsorted(ends, before + most, "right")) - at)
+            yield b.slice(at, n)
+            at += n
