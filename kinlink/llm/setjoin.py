@@ -9,12 +9,14 @@ way, is a signature that both share.  ``scheme`` picks n1, n2 and k2 by the band
 
 With ``miss`` = 0 all signatures are made and no link is lost.  With ``miss`` > 0 only so many
 partitions are used that a pair exactly at the threshold is missed with at most that
-probability, and signatures of fewer than THIN features are left out in bands where this applies.
+probability, signatures of fewer than THIN features are left out in bands where this applies, and ids
+of one signature are taken together only if sketches of their sets (one-bit minhashes) are as
+close as such a pair's are but for the same probability.
 
 Ids that share a signature form a bucket.  A star of each bucket joins it to candidate families.  A
-family of bounded size is settled in one task, exactly, by the intersection sizes of all its sets;
-a larger one in rounds: buckets test their members against a few centres, links merge
-components, and only members that are still apart are tested against more centres, until none are left.
+family of bounded size is settled in one task, exactly, by the intersection sizes of all its sets; of
+a larger one the stars are tested first, and then, block by block, what these leave outside its
+largest component against all its members.
 Hot signatures are folded to one row per task before the exchange.
 
 Defined cases: null or empty text has an empty set and no links; with fewer words than a shingle the
@@ -36,17 +38,19 @@ from pyspark.sql import functions as F
 
 from kinlink.llm import bloom
 from kinlink.llm.components import components
-from kinlink.llm.words import chain, hash_words, mix
-from kinlink.plans.scratch import Kept, keep, ship, shuffle_partitions
+from kinlink.llm.words import chain, hash_words, mix, portions
+from kinlink.plans.scratch import keep, ship, shuffle_partitions
 
 #: Rows of (signature, id) gathered before they are sorted and sent.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 #: One task's rows of one signature beyond this are folded to one.
 FOLD = 64
 #: Ids in one row of a folded signature.
 CHUNK = 1024
-#: Families beyond these are settled in rounds.
-FAMILY_DOCS = 4096
+#: Bits of the sketch that goes with a signature where partitions are sampled.
+SKETCH = 64
+#: Families beyond these are settled by several tasks.
+FAMILY_DOCS = 2048
 FAMILY_SHINGLES = 4_000_000
 #: Features a signature should have; fewer than THIN don't count where partitions are sampled.
 FEATURES = 4.0
@@ -140,57 +144,104 @@ def signatures(s: np.ndarray, i: int, num: int, den: int, miss: float) -> np.nda
     return out
 
 
-def _bucket_rows(sigs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct (signature, id), and the starts of the runs of equal signatures."""
+@functools.cache
+def _sketch_steps() -> np.ndarray:
+    return np.random.default_rng(64).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketch(s: np.ndarray) -> np.uint64:
+    """One bit of the least of the set's hashes under each of SKETCH orders: sets of similarity J differ
+    in a share of (1 - J) / 2 of the bits."""
+    least = np.full(SKETCH, ~np.uint64(0))
+    for a in range(0, len(s), 4096):
+        np.minimum(least, (s[a : a + 4096, None] * _sketch_steps()).min(0), out=least)
+    return ((mix(least) & np.uint64(1)) << np.arange(SKETCH, dtype=np.uint64)).sum(dtype=np.uint64)
+
+
+@functools.cache
+def _most_apart(num: int, den: int, miss: float) -> int:
+    """Bits that the sketches of a pair at the threshold differ in, but for a chance of ``miss``."""
+    p, tail, t = (den - num) / den / 2, 1.0, -1
+    while tail > miss:
+        t += 1
+        tail -= math.comb(SKETCH, t) * p**t * (1 - p) ** (SKETCH - t)
+        if t == SKETCH:
+            break
+    return t
+
+
+def _alike(sketches: np.ndarray, apart: int) -> list[np.ndarray]:
+    """Groups of members connected by sketches that differ in at most ``apart`` bits; without a
+    limit, or with too many members, one group of all."""
+    if apart >= SKETCH or len(sketches) > CHUNK or len(sketches) < 2:
+        return [np.arange(len(sketches))]
+    if len(sketches) == 2:
+        return [np.arange(2)] if np.bitwise_count(sketches[0] ^ sketches[1]) <= apart else []
+    near = np.bitwise_count(sketches[:, None] ^ sketches[None, :]) <= apart
+    labels = _least_reached(near, np.arange(len(sketches)))
+    return [g for k in np.unique(labels) if len(g := np.flatnonzero(labels == k)) > 1]
+
+
+def _bucket_rows(sigs: np.ndarray, ids: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct (signature, id, sketch), and the starts of the runs of equal signatures."""
     order = np.lexsort((ids, sigs))
-    sigs, ids = sigs[order], ids[order]
+    sigs, ids, sketches = sigs[order], ids[order], sketches[order]
     if len(sigs):
         new = np.ones(len(sigs), bool)
         new[1:] = (sigs[1:] != sigs[:-1]) | (ids[1:] != ids[:-1])
-        sigs, ids = sigs[new], ids[new]
+        sigs, ids, sketches = sigs[new], ids[new], sketches[new]
     starts = np.flatnonzero(np.concatenate(([True], sigs[1:] != sigs[:-1]))) if len(sigs) else np.empty(0, np.int64)
-    return sigs, ids, starts
+    return sigs, ids, sketches, starts
 
 
 def _buckets(docs: DataFrame, words: int, num: int, den: int, miss: float, parts: int) -> DataFrame:
-    """(sig, folded, ids): distinct lists of two or more ids that share a signature.
+    """(ids): distinct lists of two or more ids that share a signature.
 
-    A folded signature has several rows: lists of ids from tasks that had many, whose first id
-    stands for them in the list made after the exchange.
+    Where a task has many ids of one signature it makes lists of them itself, each with the same first
+    id, which alone goes on to the list made after the exchange.
     """
     schema = "part int, folded boolean, payload binary"
 
+    apart = _most_apart(num, den, miss) if miss else SKETCH
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple[np.ndarray, int]] = []
+        waiting: list[tuple[np.ndarray, int, np.uint64]] = []
         rows = 0
 
         def flush() -> pa.RecordBatch:
-            sigs = np.concatenate([s for s, _ in waiting])
-            ids = np.repeat(np.array([i for _, i in waiting], np.int64), [len(s) for s, _ in waiting])
+            lengths = [len(w[0]) for w in waiting]
+            sigs = np.concatenate([w[0] for w in waiting])
+            ids = np.repeat(np.array([w[1] for w in waiting], np.int64), lengths)
+            marks = np.repeat(np.array([w[2] for w in waiting], np.uint64), lengths)
             waiting.clear()
-            sigs, ids, starts = _bucket_rows(sigs, ids)
+            sigs, ids, marks, starts = _bucket_rows(sigs, ids, marks)
             out: list[tuple[int, bool, bytes]] = []
             length = np.diff(np.append(starts, len(sigs)))
             stay = np.ones(len(sigs), bool)
             part = ((sigs >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             for a, n in zip(starts[length > FOLD].tolist(), length[length > FOLD].tolist()):
-                stay[a + 1 : a + n] = False
-                for b in range(a + 1, a + n, CHUNK - 1):
-                    chunk = np.concatenate((ids[a : a + 1], ids[b : min(a + n, b + CHUNK - 1)]))
-                    out.append((int(part[a]), True, sigs[a : a + 1].tobytes() + chunk.tobytes()))
-            sigs, ids, part = sigs[stay], ids[stay], part[stay]
+                for group in _alike(marks[a : a + n], apart):
+                    own = ids[a + group]
+                    if len(own) > FOLD:
+                        stay[a + group[1:]] = False
+                        for b in range(1, len(own), CHUNK - 1):
+                            chunk = np.concatenate((own[:1], own[b : b + CHUNK - 1]))
+                            out.append((int(part[a]), True, chunk.tobytes()))
+            sigs, ids, marks, part = sigs[stay], ids[stay], marks[stay], part[stay]
             at = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
             for p in np.flatnonzero(np.diff(at)).tolist():
-                out.append((p, False, sigs[at[p] : at[p + 1]].tobytes() + ids[at[p] : at[p + 1]].tobytes()))
+                own = slice(at[p], at[p + 1])
+                out.append((p, False, sigs[own].tobytes() + ids[own].tobytes() + (marks[own].tobytes() if miss else b"")))
             return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.bool_(), pa.binary()))], ["part", "folded", "payload"])
 
-        for b in batches:
+        for b in portions(batches):
             for i, s in zip(b.column("id").to_pylist(), shingle_sets(b.column("text"), words)):
                 if i is not None and len(s):
                     k = band(len(s), num, den)
+                    mark = sketch(s) if miss else np.uint64(0)
                     for j in (k, k - 1) if k else (k,):
                         if len(g := signatures(s, j, num, den, miss)):
-                            waiting.append((g, i))
+                            waiting.append((g, i, mark))
                             rows += len(g)
                 if rows >= FLUSH:
                     yield flush()
@@ -199,39 +250,37 @@ def _buckets(docs: DataFrame, words: int, num: int, den: int, miss: float, parts
             yield flush()
 
     def meet(table: pa.Table) -> pa.Table:
-        sigs, ids, out = [], [], []
-        folded: set[int] = set()
-        for f, payload in zip(table["folded"].to_pylist(), table["payload"].to_pylist()):
-            x = np.frombuffer(payload, np.uint64)
-            if f:
-                folded.add(int(x[0]))
-                out.append((int(x[0].astype(np.int64)), True, x[1:].astype(np.int64)))
+        sigs, ids, marks, out = [], [], [], set()
+        for folded, payload in zip(table["folded"].to_pylist(), table["payload"].to_pylist()):
+            if folded:
+                out.add(payload)
             else:
-                sigs.append(x[: len(x) // 2])
-                ids.append(x[len(x) // 2 :].astype(np.int64))
+                x = np.frombuffer(payload, np.uint64)
+                n = len(x) // (3 if miss else 2)
+                sigs.append(x[:n])
+                ids.append(x[n : 2 * n].astype(np.int64))
+                marks.append(x[2 * n :] if miss else np.zeros(n, np.uint64))
         if sigs:
-            s, i, starts = _bucket_rows(np.concatenate(sigs), np.concatenate(ids))
+            s, i, m, starts = _bucket_rows(np.concatenate(sigs), np.concatenate(ids), np.concatenate(marks))
             length = np.diff(np.append(starts, len(s)))
-            seen: set[bytes] = set()
             for a, n in zip(starts[length > 1].tolist(), length[length > 1].tolist()):
-                if int(s[a]) in folded:
-                    out.append((int(s[a].astype(np.int64)), True, i[a : a + n]))
-                elif (key := i[a : a + n].tobytes()) not in seen:
-                    seen.add(key)
-                    out.append((0, False, i[a : a + n]))
-        return pa.table({"sig": pa.array([o[0] for o in out], pa.int64()), "folded": pa.array([o[1] for o in out], pa.bool_()), "ids": pa.array([o[2] for o in out], pa.list_(pa.int64()))})
+                out.update(i[a + group].tobytes() for group in _alike(m[a : a + n], apart))
+        return pa.table({"ids": pa.array([np.frombuffer(o, np.int64) for o in out], pa.list_(pa.int64()))})
 
     sent = docs.mapInArrow(send, schema)
-    return sent.groupBy("part").applyInArrow(meet, "sig long, folded boolean, ids array<long>").dropDuplicates(["sig", "folded", "ids"])
+    return sent.groupBy("part").applyInArrow(meet, "ids array<long>").dropDuplicates(["ids"])
 
 
-def _linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Boolean matrix of the links between the sets, from all their intersection sizes."""
+def _linked(sets: list[np.ndarray], num: int, den: int, first: int | None = None) -> np.ndarray:
+    """Boolean matrix of the links between the sets, from all their intersection sizes; with ``first``,
+    of the links between the first so many and the rest."""
     m = len(sets)
     n = np.array([len(s) for s in sets], np.int64)
     kinds, place = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(m), n)
-    both = np.zeros((m, m), np.float32)
+    cut = slice(0, m) if first is None else slice(first, m)
+    first = m if first is None else first
+    both = np.zeros((first, m - cut.start), np.float32)
     step = max(1, 8_000_000 // m)
     order = np.argsort(place, kind="stable")
     place, row = place[order], row[order]
@@ -239,9 +288,9 @@ def _linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
         lo, hi = np.searchsorted(place, [a, a + step])
         x = np.zeros((m, min(step, len(kinds) - a)), np.float32)
         x[row[lo:hi], place[lo:hi] - a] = 1
-        both += x @ x.T
-    both = both.astype(np.int64)
-    return den * both >= num * (n[:, None] + n[None, :] - both)
+        both += x[:first] @ x[cut].T
+    total = n[:first, None] + n[None, cut] - both
+    return (both > 0) & (den * both.astype(np.float64) >= num * total)
 
 
 def _least_reached(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -295,8 +344,8 @@ def _settle(docs: DataFrame, members: DataFrame, words: int, num: int, den: int,
 def _verify(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link.  Members meet their centre in groups of bounded size."""
     sizes = pairs.groupBy("a").count().withColumn("cells", F.ceil(F.col("count") / TESTED).cast("int")).select("a", "cells")
-    dealt = pairs.join(sizes, "a").select("a", F.col("b").alias("id"), F.pmod(F.xxhash64("b"), F.col("cells")).alias("cell"), F.lit(False).alias("centre"))
-    centres = sizes.select("a", F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).cast("long").alias("cell"), F.lit(True).alias("centre"))
+    dealt = pairs.join(sizes, "a").select("a", F.col("b").alias("id"), F.pmod(F.xxhash64("b"), F.col("cells").cast("long")).alias("cell"), F.lit(False).alias("centre"))
+    centres = sizes.select("a", F.col("a").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells").cast("long") - 1)).alias("cell"), F.lit(True).alias("centre"))
     wanted = keep(dealt.unionByName(centres), "join-tests")
     rows = _texts_of(docs, wanted)
 
@@ -317,32 +366,41 @@ def _verify(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -
     return rows.groupBy("a", "cell").applyInArrow(run, "a long, b long")
 
 
-def _rounds(docs: DataFrame, lists: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(id, component) within large families. lists: (bucket, id) of their buckets."""
-    size = lists.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least"))
-    lists = keep(lists.join(size, "bucket"), "join-lists")
-    most = lists.agg(F.max("size")).first()[0] or 0
-    pairs = keep(lists.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "join-pairs")
-    tested, links, centres, labels = pairs, None, 1, None
-    while True:
-        found = _verify(docs, pairs, words, num, den)
-        links = keep(found if links is None else links.unionByName(found), "join-links")
-        labels = keep(components(links), "join-labels")
-        if centres >= 2 * most:
-            break
-        now = lists.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        apart = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-        now = keep(now.join(apart, "bucket"), "join-apart")
-        some = now.filter(F.pmod(F.xxhash64("id"), F.col("size")) < centres).select("bucket", F.col("id").alias("x"), F.col("component").alias("xc"))
-        new = now.join(some, "bucket").filter("component <> xc").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-        pairs = keep(new.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "join-pairs")
-        centres *= 2
-        if pairs.isEmpty():
-            if centres >= 2 * most or now.isEmpty():
-                break
-            continue
-        tested = keep(tested.select("a", "b").unionByName(pairs), "join-tested")
-    return labels
+def _settle_large(docs: DataFrame, members: DataFrame, stars: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(id, component) of families too large for one task; members: (id, family), stars: (a, b).
+
+    The stars are tested first, which needs one test a member and joins most of a group of copies.  A
+    link that is still missing has an end outside the family's largest component, so what is outside
+    is then compared with all members, block by block: a task holds TESTED of each.
+    """
+    links = keep(_verify(docs, stars, words, num, den), "join-links")
+    labels = components(links)
+    now = keep(members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "join-large")
+    sizes = now.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    extent = sizes.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("rest"))
+    extent = extent.filter("rest > 0").withColumns({c: F.ceil(F.col(k) / TESTED) for c, k in (("cells", "all"), ("blocks", "rest"))})
+    now = now.join(extent, "family")
+    deal = lambda seed, c: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(c))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    inside = now.select("id", "family", F.lit(False).alias("outside"), deal(1, "cells").alias("cell"), every("blocks").alias("block"))
+    outside = now.filter("component <> main").select("id", "family", F.lit(True).alias("outside"), every("cells").alias("cell"), deal(2, "blocks").alias("block"))
+    rows = _texts_of(docs, keep(inside.unionByName(outside), "join-blocks"))
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, outer = table["id"].to_numpy(), table["outside"].to_numpy()
+        order = np.argsort(~outer, kind="stable")
+        ids, n = ids[order], int(outer.sum())
+        a, b = np.empty(0, np.int64), np.empty(0, np.int64)
+        if 0 < n < len(ids):
+            texts = table["text"].combine_chunks()
+            sets = shingle_sets((texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts).take(pa.array(order)), words)
+            linked = np.zeros((len(ids), len(ids)), bool)
+            linked[:n, n:] = _linked(sets, num, den, n)
+            a, b = _least_reached(linked | linked.T, ids), ids  # a star for each connected part: as many links as ids
+        return pa.table({"a": a, "b": b})
+
+    found = rows.groupBy("family", "cell", "block").applyInArrow(run, "a long, b long").filter("a <> b")
+    return components(links.unionByName(found))
 
 
 def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -352,12 +410,12 @@ def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, miss: f
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in shingle_sets(b.column("text"), words)], pa.int64())], ["id", "n"])
 
     sizes = keep(base.mapInArrow(count, "id long, n long"), "join-sizes")
     shingles = sizes.agg(F.sum("n")).first()[0] or 0
-    parts = shuffle_partitions(spark, shingles // 4, FLUSH)
+    parts = shuffle_partitions(spark, shingles // 4, 1 << 20)
     buckets = keep(_buckets(base, words, num, den, miss, parts), "join-buckets")
     stars = keep(buckets.select(F.element_at("ids", 1).alias("a"), F.explode(F.slice("ids", 2, F.greatest(F.size("ids"), F.lit(2)))).alias("b")).distinct(), "join-stars")
     families = keep(components(stars).select("id", F.col("component").alias("family")), "join-families")
@@ -370,9 +428,8 @@ def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, miss: f
     if small:
         out.append(_settle(base, marked.filter("not large").select("id", "family"), words, num, den, max(shuffle_partitions(spark), small // FAMILY_SHINGLES + 1)))
     if any(r["large"] for r in total):
-        bucket = F.when(F.col("folded"), F.struct(F.col("sig"), F.lit(1))).otherwise(F.struct(F.xxhash64("ids"), F.lit(0)))
-        lists = buckets.select(bucket.alias("bucket"), F.explode("ids").alias("id")).distinct()
-        out.append(_rounds(base, lists.join(marked.filter("large").select("id"), "id", "left_semi"), words, num, den))
+        large = keep(marked.filter("large").select("id", "family"), "join-large-members")
+        out.append(_settle_large(base, large, stars.join(large.select(F.col("id").alias("a")), "a", "left_semi"), words, num, den))
     labels = None
     for x in out:
         x = x.select("id", "component").distinct()
