@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 
 # What is searched for. The order decides where two could start at one place.
-EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"(?<![\p{L}0-9._%+\-])[\p{L}0-9._%+\-]++@[\p{L}0-9\-]+(?:\.[\p{L}0-9\-]+)*\.[\p{L}]{2,}"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
 DATE_ISO = r"(?<![0-9\-])(?:18|19|20|21)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9\-])"
 DATE_DMY = r"(?<![0-9/.])[0-9]{2}(?:/[0-9]{2}/|\.[0-9]{2}\.)(?:18|19|20|21)[0-9]{2}(?![0-9]|[/.][0-9])"

@@ -68,13 +68,14 @@ def test_dates(spark):
 
 
 def test_iban_and_mail(spark):
-    out, n = run(spark, ["to DE89 3704 0044 0532 0130 00 please", "DE88370400440532013000", "mail bosbt.42@mail8.example.com, Bosbt.42@mail8.example.com"])
+    out, n = run(spark, ["to DE89 3704 0044 0532 0130 00 please", "DE88370400440532013000", "mail bosbt.42@mail8.example.com, Bosbt.42@mail8.example.com", "(ñandú.7@über.example.de)***"])
     new = re.search(r"DE[\d ]+\d", out[0])[0]
     z = new.replace(" ", "")
     assert int(z[4:] + "1314" + z[2:4]) % 97 == 1 and z[4:] == halves("iban", "370400440532013000") and [len(x) for x in new.split()] == [4, 4, 4, 4, 4, 2]
     assert out[1] == "DE88370400440532013000"
     first, second = re.findall(r"\S+@[\w.]+", out[2])
-    assert first == second and "bosbt" not in out[2].lower() and n == [1, 0, 2]
+    assert first == second and "bosbt" not in out[2].lower() and n == [1, 0, 2, 1]
+    assert re.fullmatch(r"\(user[0-9a-f]{12}@[0-9a-f]{8}\.example\.com\)\*\*\*", out[3])
 
 
 def test_one_to_one():
