@@ -52,10 +52,15 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def short_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(index, queries): short normalised records with tokens."""
-    r = add_tokens(A.view(spark, sf_dir, A.SHORT_SPARK))
+    r = _short_with_tokens(spark, sf_dir)
     return r.filter("side = 1"), r.filter("side <> 1")
 
 
+def _short_with_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts are read once; what follows reads the short fields."""
+    return keep(add_tokens(keep(A.view(spark, sf_dir, A.SHORT_SPARK), "short")), "short-tokens")
+
+
 # ---------------------------------------------------------------- sources and sinks
 
 
@@ -162,19 +167,19 @@ def addr_numbers(spark, sf_dir):
 
 @query(S.TOKENS)
 def token_bag(spark, sf_dir):
-    r = add_tokens(A.view(spark, sf_dir, A.SHORT_SPARK))
+    r = _short_with_tokens(spark, sf_dir)
     return r.select("id", F.explode("ntok").alias("tok")).unionByName(r.select("id", F.explode("atok").alias("tok")))
 
 
 @query(S.BIGRAMS)
 def addr_bigrams(spark, sf_dir):
-    r = add_tokens(A.view(spark, sf_dir, A.SHORT_SPARK))
+    r = _short_with_tokens(spark, sf_dir)
     return r.select("id", F.explode("atok").alias("tok")).filter("tok like 'b:%'")
 
 
 @query(S.KEYS)
 def blocking_keys(spark, sf_dir):
-    return add_tokens(A.view(spark, sf_dir, A.SHORT_SPARK)).select("id", "key_core_pn", "key_skel_pn", "key_cat_pn", "key_core", "key_skel", "key_cat")
+    return _short_with_tokens(spark, sf_dir).select("id", "key_core_pn", "key_skel_pn", "key_cat_pn", "key_core", "key_skel", "key_cat")
 
 
 @query(S.VOCABULARY)

@@ -1,7 +1,8 @@
 """String similarity scores of pairs of columns, 0 to 100, as Arrow-batched functions.
 
 ``ratio`` is 200 * LCS / (sum of lengths); the token variants sort or partition the words first, the
-partial ones take the best window of the longer string.  Repeated pairs in a batch are scored once.
+partial ones take the best window of the longer string.  A task remembers the pairs it has scored, up to
+a bound.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Scored pairs that a task remembers from batch to batch.
+KNOWN = 100_000
+
+
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, bit-parallel."""
     if not a or not b:
@@ -115,9 +120,11 @@ SCORERS: dict[str, Callable[[str, str], float]] = {f.__name__: f for f in (ratio
 def score(name: str, a: Column, b: Column) -> Column:
     """The scorer over two string columns; nulls count as empty."""
     scorer = SCORERS[name]
+    known: dict[tuple[str, str], float] = {}  # of this task's worker
 
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        known: dict[tuple[str, str], float] = {}
+        if len(known) > KNOWN:
+            known.clear()
         out = []
         for p in zip(x, y):
             if p not in known:
