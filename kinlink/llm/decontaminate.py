@@ -1,97 +1,63 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
-
-Words are runs of letters and digits, lower-cased.  The CGK embedding walks over a window of words: at step
-j it writes the word it stands on and moves on if a random function of j and that word says
-so.  Two windows at a small edit distance get embeddings at a small Hamming distance, since the
-walks fall into step again after an edit.  Bit sampling hashes a few positions of the embedding; that
-is repeated with several walks and samples until the target recall.
-
-Every item is embedded from each of its words in turn up to its middle, so it is enough to open a window
-at every STRIDE-th word of a document: one that starts o words into a leaked passage meets the item's embedding from
-word o.  A match names item and diagonal; the item-sized window on it is then compared by the
-exact edit distance in words between the whole item and the best stretch of the window.
-
-Windows of a document are embedded together, step by step, so the work grows with the number of words
-and not with that of items.  Items are sent to the executors in blocks of bounded size.
-
-Defined cases: null or empty documents and items match nothing; items of fewer than LEAST_WORDS
-words aren't searched for; repeated documents or items give a row each; ties between stretches go to the
-first.
+"""Benchmark decontamination: exact runs of words that an edited copy must keep, exact edit verification.
+
+Words are runs of letters and digits, lower-cased; in scripts without spaces each character is a word.  An item of n words may differ from its closest
+stretch in k = floor(n * (1 - similarity)) word edits.  Cut into k + 1 pieces, it has one piece that no edit
+touches, so a copy holds that piece word for word (the pigeonhole principle); no copy is lost, whatever the
+item's length.  Every run of a piece's length in a document is looked up among the pieces; a match names
+item and diagonal.  The words of the item-sized window on it are then counted: all but k of the item's words must
+occur there.  What is left is compared by the exact edit distance in words between the whole item and the best
+stretch of the window.
+
+Runs of a document are looked up together, so the work grows with the number of words and of distinct
+piece lengths, and not with that of items, but for the matches of common pieces.  Items are sent to the executors in
+blocks of bounded size.
+
+Defined cases: null or empty documents and items, and items without a word, match nothing; items too short for an
+edit (fewer than 5 words at 0.8) match where they occur word for word; repeated documents or items give a row
+each; ties between stretches go to the first.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.words import hash_words, mix, portions
+from kinlink.llm.words import chain, hash_words, mix, portions
 from kinlink.plans.scratch import ship
 
 SIMILARITY = 0.8
-STRIDE = 4
-SEED = 404
-#: (steps of the walk that are sampled from, samples a table, tables) for each walk.
-TABLES = ((8, 4, 1), (16, 6, 2), (40, 7, 2))
-WALKS = 3
-LEAST_WORDS = 4
 #: Words of items sent to the executors at once (a few MB with their tables).
 BLOCK_WORDS = 200_000
-#: Window starts embedded together.
-STARTS = 1 << 18
-#: A key is used if its distinct words meet by chance once in 10**SELECTIVE windows, by the words'
-#: shares of the items' text; of each item the LEAST_KEYS rarest keys are used in any case.
-SELECTIVE = 8.0
-LEAST_KEYS = 40
+#: Matches and words of their windows looked at together.
+MATCHES = 1 << 20
 _SIEVE = 20
+#: Characters of scripts without spaces, and the marks between them.
+UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
+MARKS = r"[\x{3000}-\x{3004}\x{3008}-\x{3020}\x{3030}\x{30FB}\x{FF01}-\x{FF0F}\x{FF1A}-\x{FF20}\x{FF3B}-\x{FF40}\x{FF5B}-\x{FF65}]"
 
 
-@functools.cache
-def _samples() -> list[list[np.ndarray]]:
-    """For each walk, the sampled steps of its tables: one from each of k equal stretches, since
-    neighbouring steps often write the same word."""
-    rng = np.random.default_rng(SEED)
-    cuts = {(steps, k): np.linspace(0, steps, k + 1).astype(int) for steps, k, _ in TABLES}
-    return [[np.array([rng.integers(a, b) for a, b in zip(cuts[steps, k][:-1], cuts[steps, k][1:])]) for steps, k, n in TABLES for _ in range(n)] for _ in range(WALKS)]
+def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, offsets by text)."""
+    if pc.any(pc.match_substring_regex(column, f"{UNSPACED}|{MARKS}")).as_py():
+        column = pc.replace_substring_regex(pc.replace_substring_regex(column, MARKS, " "), f"({UNSPACED})", r" \1 ")
+    return hash_words(column, lower=True, bare=True)
 
 
-def _keys(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, walk: int, rarity: np.ndarray | None = None) -> Iterator[tuple]:
-    """(table, starts whose samples are all before their end, their keys) for the tables of a walk.
-
-    h ends with a word that belongs to no text; a walk that leaves its text stays where it is.  With
-    ``rarity``, the sum of it over the distinct words sampled is given too.
-    """
-    tables = _samples()[walk]
-    keys = [np.full(len(starts), t + 1 + 100 * walk, np.uint64) for t in range(len(tables))]
-    inside = [np.ones(len(starts), bool) for _ in tables]
-    at = starts.copy()
-    last = [np.full(len(starts), -1) for _ in tables]
-    rare = [np.zeros(len(starts)) for _ in tables]
-    for j in range(max(int(t[-1]) for t in tables) + 1):
-        now = h[at]
-        for t, steps in enumerate(tables):
-            if j in steps:
-                keys[t] = (keys[t] ^ now) * np.uint64(0x9FB21C651E98DF25)
-                keys[t] ^= keys[t] >> np.uint64(29)
-                inside[t] &= at < ends
-                if rarity is not None:
-                    rare[t] += np.where(at != last[t], rarity[at], 0.0)
-                    last[t] = at
-        move = (now * np.uint64(2 * (SEED * 1009 + walk * 8191 + j * 131071) + 0x9E3779B97F4A7C15 & (1 << 64) - 1 | 1)) >> np.uint64(63)
-        at = np.minimum(at + move.astype(np.int64), len(h) - 1)
-    for t in range(len(tables)):
-        yield t, inside[t], mix(keys[t]), rare[t]
+def most_edits(n: int, similarity: float) -> int:
+    """Word edits that a stretch may be away from an item of n words."""
+    return int(n * (1 - similarity) + 1e-9)
 
 
 class _Index:
-    """Items in one block: their words, and the tables of their embeddings."""
+    """Items in one block: their words, and the pieces of which a copy keeps one."""
 
-    def __init__(self, ids: list, texts: list[str]):
-        h, at = hash_words(pa.array(texts, pa.string()), lower=True, bare=True)
+    def __init__(self, ids: list, texts: list[str], similarity: float):
+        h, at = words_of(pa.array(texts, pa.string()))
         self.ids = ids
         self.items = [h[a:b] for a, b in zip(at[:-1], at[1:])]
         self.masks = []
@@ -100,50 +66,70 @@ class _Index:
             for i, x in enumerate(w.tolist()):
                 masks[x] = masks.get(x, 0) | 1 << i
             self.masks.append(masks)
-        starts, ends, item = [], [], []
-        for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
-            if b - a >= LEAST_WORDS:
-                n = max(STRIDE, (b - a + 1) // 2)
-                n = min(n, b - a - LEAST_WORDS + 1)
-                starts += range(a, a + n)
-                ends += [b] * n
-                item += [k] * n
-        starts, ends, item = np.array(starts, np.int64), np.array(ends, np.int64), np.array(item, np.int64)
-        h = np.append(h, np.uint64(0))
-        _, place, n = np.unique(h, return_inverse=True, return_counts=True)
-        rarity = -np.log10((n[place] + 1) / (len(h) + 1))
-        made = [(walk, *k) for walk in range(WALKS) for k in _keys(h, starts, ends, walk, rarity)]
-        # Of each item, the keys that few windows share by chance, and its rarest ones in any case.
-        useful = np.concatenate([np.where(inside, rare, -1.0) for _, _, inside, _, rare in made])
-        whose = np.tile(item, len(made))
-        order = np.lexsort((-useful, whose))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order)) - np.searchsorted(whose[order], whose[order])
-        used = (useful >= 0) & ((useful >= SELECTIVE) | (rank < LEAST_KEYS))
+        self.lengths = np.diff(at)
+        self.most = np.array([most_edits(n, similarity) for n in self.lengths.tolist()], np.int64)
+        pieces: dict[int, list[tuple[int, int]]] = {}
+        for k, (n, most) in enumerate(zip(self.lengths.tolist(), self.most.tolist())):
+            cuts = [i * n // (most + 1) for i in range(most + 2)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if b > a:
+                    pieces.setdefault(b - a, []).append((k, a))
         self.tables = {}
-        for z, (walk, t, _, keys, _) in enumerate(made):
-            use = used[z * len(item) : (z + 1) * len(item)]
-            order = np.argsort(keys[use], kind="stable")
+        for size, found in pieces.items():
+            item, offset = np.array(found, np.int64).T
+            keys = chain(h, size)[at[item] + offset]
+            order = np.argsort(keys, kind="stable")
             sieve = np.zeros(1 << _SIEVE, bool)
-            k = keys[use][order]
-            sieve[(k >> np.uint64(64 - _SIEVE)).astype(np.int64)] = True
-            self.tables[walk, t] = k, item[use][order], (starts - at[item])[use][order], sieve
-
-    def candidates(self, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Distinct (window start, item, offset in the item) with a key in common."""
-        found = []
-        padded = np.append(h, np.uint64(0))
-        for walk in range(WALKS):
-            for t, inside, keys, _ in _keys(padded, starts, ends, walk):
-                table, item, offset, sieve = self.tables[walk, t]
-                hit = np.flatnonzero(sieve[(keys >> np.uint64(64 - _SIEVE)).astype(np.int64)] & inside)
-                lo, hi = np.searchsorted(table, keys[hit], "left"), np.searchsorted(table, keys[hit], "right")
-                some = hi > lo
-                hit, lo, n = hit[some], lo[some], (hi - lo)[some]
-                if len(hit):
-                    each = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    found.append(np.stack((np.repeat(starts[hit], n), item[each], offset[each]), 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
+            sieve[(keys >> np.uint64(64 - _SIEVE)).astype(np.int64)] = True
+            self.tables[size] = keys[order], item[order], offset[order], sieve
+        #: Word and item in one number, to ask whether an item has a word; how often it has it isn't asked.
+        self.has = np.unique(_both(h, np.repeat(np.arange(len(ids)), self.lengths)))
+
+    def candidates(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Distinct (document, item, diagonal) with a piece in common, and enough words in the window."""
+        found = [np.empty((0, 3), np.int64)]
+        for size, (table, item, offset, sieve) in sorted(self.tables.items()):
+            keys = chain(h, size)
+            hit = np.flatnonzero(sieve[(keys >> np.uint64(64 - _SIEVE)).astype(np.int64)])
+            doc = np.searchsorted(at, hit, "right") - 1
+            inside = hit + size <= at[doc + 1]
+            hit, doc = hit[inside], doc[inside]
+            lo, hi = np.searchsorted(table, keys[hit], "left"), np.searchsorted(table, keys[hit], "right")
+            some = hi > lo
+            hit, doc, lo, n = hit[some], doc[some], lo[some], (hi - lo)[some]
+            total = np.cumsum(n)
+            a = 0
+            while a < len(hit):  # hits of at most MATCHES matches, or one hit
+                b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + MATCHES, "right")))
+                m = n[a:b]
+                each = np.repeat(lo[a:b], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                rows = np.stack((np.repeat(doc[a:b], m), item[each], np.repeat(hit[a:b], m) - offset[each]), 1)
+                found.append(rows[self._enough(h, at, rows)])
+                a = b
+        return np.unique(np.concatenate(found), axis=0)
+
+    def _enough(self, h: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Whether the window has n - k words of the item, for rows of (document, item, diagonal)."""
+        doc, item, x = rows.T
+        n, most = self.lengths[item], self.most[item]
+        a, b = np.maximum(at[doc], x - most), np.minimum(at[doc + 1], x + n + most)
+        enough = np.zeros(len(rows), bool)
+        total = np.cumsum(b - a)
+        i = 0
+        while i < len(rows):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + MATCHES, "right")))
+            m = (b - a)[i:j]
+            first = np.cumsum(m) - m
+            word = h[np.repeat(a[i:j] - first, m) + np.arange(m.sum())]
+            key = _both(word, np.repeat(item[i:j], m))
+            place = np.minimum(np.searchsorted(self.has, key), len(self.has) - 1)
+            enough[i:j] = np.add.reduceat(self.has[place] == key, first, dtype=np.int64) >= (n - most)[i:j]
+            i = j
+        return enough
+
+
+def _both(word: np.ndarray, item: np.ndarray) -> np.ndarray:
+    return mix(word ^ mix(item.astype(np.uint64)))
 
 
 def best_stretch(masks: dict[int, int], n: int, words: list[int]) -> tuple[int, int]:
@@ -170,32 +156,25 @@ def best_stretch(masks: dict[int, int], n: int, words: list[int]) -> tuple[int,
     return best, end
 
 
-def _leaks(index: _Index, h: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[int, int, int, int]]:
+def _leaks(index: _Index, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """(document, item, edit distance, word at which the stretch ends) of every pair that is close enough."""
-    counts = np.diff(at)
-    per = -(-counts // STRIDE)
-    total = int(per.sum())
-    first = np.cumsum(per) - per
     pairs: dict[tuple[int, int], list[int]] = {}
-    for a in range(0, total, STARTS):
-        g = np.arange(a, min(total, a + STARTS))
-        doc = np.searchsorted(first + per, g, "right")
-        starts = at[doc] + (g - first[doc]) * STRIDE
-        for s, item, offset in index.candidates(h, starts, at[doc + 1]).tolist():
-            d = int(np.searchsorted(at, s, "right")) - 1
-            pairs.setdefault((d, item), []).append(s - offset)
+    for d, item, x in index.candidates(h, at).tolist():
+        pairs.setdefault((d, item), []).append(x)
     for (d, item), diagonals in sorted(pairs.items()):
         n = len(index.items[item])
-        most = int(n * (1 - similarity) + 1e-9)
+        most = int(index.most[item])
         lo, hi = int(at[d]), int(at[d + 1])
-        best = None
-        done = lo
+        windows: list[list[int]] = []
         for x in sorted(set(diagonals)):
             a, b = max(lo, x - most), min(hi, x + n + most)
-            if b <= done:
-                continue
+            if windows and a <= windows[-1][1]:
+                windows[-1][1] = b
+            else:
+                windows.append([a, b])
+        best = None
+        for a, b in windows:
             distance, end = best_stretch(index.masks[item], n, h[a:b].tolist())
-            done = b
             if distance <= most and (best is None or distance < best[0]):
                 best = distance, a + end - lo
                 if not distance:
@@ -230,9 +209,9 @@ def _search(rows: DataFrame, ids: list, texts: list[str], similarity: float, sch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = None
         for b in portions(batches):
-            index = index or _Index(ids, texts)
-            h, at = hash_words(b.column("text"), lower=True, bare=True)
-            found = list(_leaks(index, h, at, similarity)) if len(index.ids) else []
+            index = index or _Index(ids, texts, similarity)
+            h, at = words_of(b.column("text"))
+            found = list(_leaks(index, h, at)) if len(index.ids) else []
             docs = b.column("doc")
             cols = [
                 docs.take(pa.array([f[0] for f in found], pa.int64())),

@@ -82,3 +82,36 @@ def test_very_long_document(spark):
     doc = text(rng, 200_000) + " " + item + " " + text(rng, 100)
     got = D.find(spark.createDataFrame([(1, doc)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
     assert [(r["edit_distance"], r["end_word"]) for r in got] == [(0, 200_040)]
+
+
+def edited(rng, item, edits):
+    """The item with so many word edits, spread evenly: the worst case for runs of unchanged words."""
+    w = list(item)
+    for i in reversed(range(edits)):
+        p, how = (2 * i + 1) * len(w) // (2 * edits), rng.randrange(3)
+        w[p : p + (how != 0)] = [] if how == 2 else [f"new{rng.randrange(10**6)}"]
+    return w
+
+
+def test_every_copy_is_found_at_every_length_edit_rate_and_position(spark):
+    rng = random.Random(12)
+    items, docs, want = [], [], set()
+    for n in range(1, 41):
+        for rate in (0.0, 0.1, 0.2):
+            item = [f"w{rng.randrange(10**9)}" if rng.random() < 0.7 else rng.choice(WORDS) for _ in range(n)]
+            items.append((len(items), " ".join(item)))
+            for before in range(8):
+                words = text(rng, before).split() + edited(rng, item, int(n * rate + 1e-9)) + text(rng, 6).split()
+                docs.append((len(docs), " ".join(words)))
+                if distance(item, words) <= int(n * 0.2 + 1e-9):
+                    want.add((docs[-1][0], items[-1][0]))
+    assert len(want) > 900
+    got = {(r["doc_id"], r["item_id"]) for r in D.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert not want - got
+
+
+def test_items_of_one_to_three_words_match_word_for_word(spark):
+    docs = [(1, "we ask: what NOW, then"), (2, "what then now"), (3, "日本語の文です。次の文"), (4, "a b c x d"), (5, "x a b c"), (6, "now")]
+    items = [(1, "What now?"), (2, "日本語の文です"), (3, "a b c"), (4, "Now")]
+    got = D.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["edit_distance"]) for r in got) == [(1, 1, 0), (1, 4, 0), (2, 4, 0), (3, 2, 0), (4, 3, 0), (5, 3, 0), (6, 4, 0)]
