@@ -1,7 +1,7 @@
 """Pseudonyms that keep their format, by a keyed Feistel permutation; native expressions only.
 
-Found and validated: payment card numbers (13 to 19 digits, Luhn), phone numbers with a country or
-area code, US social security numbers, IPv4 addresses, IBANs (check digits), dates (ISO, and
+Found and validated: payment card numbers (13 to 19 digits, Luhn), phone numbers with a country code
+(any groups) or a three-digit area code, US social security numbers, IPv4 addresses, IBANs (check digits; letters stay letters), dates (ISO, and
 day/month/year with ``/`` or ``.``) and e-mail addresses.  Each value is mapped to an index of
 its domain ``A x B`` and permuted by rounds ``a += F(b) mod A``, ``b += F(a) mod B`` with
 F from SHA-256 of key, kind, round and half.  This is one-to-one and depends on nothing but
@@ -28,7 +28,20 @@ DATE_ISO = r"(?<![0-9\-])(?:18|19|20|21)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9\-])"
 DATE_DMY = r"(?<![0-9/.])[0-9]{2}(?:/[0-9]{2}/|\.[0-9]{2}\.)(?:18|19|20|21)[0-9]{2}(?![0-9]|[/.][0-9])"
 SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}[ .\-][0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9.\-])[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![0-9.\-])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){3,7}(?: ?[0-9]{1,3})?(?![A-Za-z0-9])"
+#: With a country code in any groups: of known length first, so that what follows isn't taken in; no decimal number.
+_NEXT = r"(?:[ .\-/]?\(?[0-9]\)?)"
+PHONE += rf"|(?<![0-9+])(?!\+[0-9]{{1,3}}\.[0-9]++(?!\.[0-9]))\+(?:(?:33|34){_NEXT}{{9}}|(?:1|44){_NEXT}{{10}}|[1-9][0-9]{{0,2}}{_NEXT}{{6,12}})(?![0-9])"
+#: Country codes of one and of two digits; all others have three.
+CODES = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+#: Countries by the length of their IBANs; accounts may hold letters.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_ACCOUNTS = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+#: Of other countries, or other lengths: digits in groups.
+IBAN = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_ACCOUNTS}|[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9]{{4}}){{3,7}}(?: ?[0-9]{{1,3}})?)(?![A-Za-z0-9])"
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])"
 PATTERN = "|".join((EMAIL, IBAN, IPV4, DATE_ISO, DATE_DMY, SSN, PHONE, CARD))
 
@@ -96,8 +109,10 @@ def _card(key: str) -> str:
 
 
 def _phone(key: str) -> str:
-    new = _let("p", "right(d, 10)", _let("q", _halves(key, "phone", "p"), _let("e", "concat(substring(d, 1, length(d) - 10), q)", _refill("m", "e"))))
-    return _let("d", _digits("m"), f"if(length(d) between 10 and 13, {new}, m)")
+    """The digits after the country code are permuted."""
+    code = f"if(substring(m, 1, 1) <> '+', 0, if(d rlike {_quote(CODES)}, if(d rlike '^[17]', 1, 2), 3))"
+    new = _let("n", code, _let("p", "substring(d, n + 1)", _let("q", _halves(key, "phone", "p"), _let("e", "concat(substring(d, 1, n), q)", _refill("m", "e")))))
+    return _let("d", _digits("m"), f"if(length(d) between 8 and 15, {new}, m)")
 
 
 def _ssn(key: str) -> str:
@@ -131,11 +146,31 @@ def _date(key: str, day: str, out: str) -> str:
     return _let("w", f"datediff({day}, date'1800-01-01')", f"if(w is null, m, {new})")
 
 
+def _letters(key: str, kind: str, x: str) -> str:
+    """A string of up to 24 letters A-Z, permuted among those of its length."""
+    u, v = f"(length({x}) div 2)", f"(length({x}) - length({x}) div 2)"
+    number = lambda y: f"aggregate(filter(split({y}, ''), c -> c <> ''), cast(0 as bigint), (t, c) -> t * 26 + ascii(c) - 65)"
+    text = lambda n, k: f"if({k} = 0, '', aggregate(sequence(1, greatest(1, {k})), named_struct('o', '', 'n', {n}), (t, i) -> named_struct('o', concat(char(65 + t.n % 26), t.o), 'n', t.n div 26), t -> t.o))"
+    size = lambda k: f"aggregate(sequence(0, {k}), cast(1 as bigint), (t, i) -> if(i = 0, t, t * 26))"
+    r = _feistel(key, kind, number(f"substring({x}, 1, {u})"), number(f"substring({x}, {u} + 1)"), size(u), size(v))
+    return f"if({x} = '', '', {_let('h', r, f'concat({text('h.a', u)}, {text('h.b', v)})')})"
+
+
 def _iban(key: str) -> str:
-    """The digits after the check digits are permuted; the check digits are 98 - remainder."""
+    """The digits after the check digits are permuted, and so are the letters; the check digits are 98 - remainder."""
     valid = f"{_mod97('concat(substring(z, 5), substring(z, 1, 4))')} = 1"
     check = f"lpad(cast(98 - {_mod97('''concat(q, substring(z, 1, 2), '00')''')} as string), 2, '0')"
-    new = _let("p", "substring(z, 5)", _let("q", _halves(key, "iban", "p"), _let("e", f"concat({check}, q)", _refill("m", "e"))))
+    mixed = (
+        "aggregate(split(p, ''), named_struct('o', cast('' as string), 'k', 1, 'l', 1), (t, c) -> if(c >= '0' and c <= '9', "
+        "named_struct('o', concat(t.o, substring(dq, t.k, 1)), 'k', t.k + 1, 'l', t.l), named_struct('o', concat(t.o, substring(lq, t.l, 1)), 'k', t.k, 'l', t.l + 1)), t -> t.o)"
+    )
+    filled = (
+        "aggregate(split(m, ''), named_struct('o', cast('' as string), 'k', 1), (t, c) -> if(c = ' ', named_struct('o', concat(t.o, c), 'k', t.k), "
+        "named_struct('o', concat(t.o, substring(e, t.k, 1)), 'k', t.k + 1)), t -> t.o)"
+    )
+    digits = _let("g", _digits("p"), f"if(length(g) < 2, g, {_halves(key, 'iban', 'g')})")
+    letters = _let("y", "regexp_replace(p, '[^A-Z]', '')", _letters(key, "iban-letters", "y"))
+    new = _let("p", "substring(z, 5)", _let("dq", digits, _let("lq", letters, _let("q", mixed, _let("e", f"concat(substring(z, 1, 2), {check}, q)", filled)))))
     return _let("z", "replace(m, ' ', '')", f"if({valid}, {new}, m)")
 
 

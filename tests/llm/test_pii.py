@@ -96,3 +96,29 @@ def test_many_values_long_text_repeats_and_empty(spark):
     assert pii.pseudonymise(df, KEY).count() == 0
     plan = pii.pseudonymise(df, KEY)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("iban", ["GB82 WEST 1234 5698 7654 32", "NL91ABNA0417164300", "IE29 AIBK 9311 5212 3456 78", "FR14 2004 1010 0505 0001 3M02 606", "IT60 X054 2811 1010 0000 0123 456", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"])
+def test_ibans_with_letters(spark, iban):
+    (a, b, c), n = run(spark, [f"pay {iban} AND NOW", f"({iban})", iban[:-1] + ("1" if iban[-1] != "1" else "2")])
+    new = a[4:-8]
+    assert a == f"pay {new} AND NOW" and b == f"({new})" and new != iban and n == [1, 1, 0]
+    shape = lambda x: re.sub("[0-9]", "0", re.sub("[A-Z]", "A", x))
+    z = new.replace(" ", "")
+    assert shape(new) == shape(iban) and new[:2] == iban[:2]
+    assert int("".join(str(int(x, 36)) for x in z[4:] + z[:4])) % 97 == 1
+
+
+@pytest.mark.parametrize("phone", ["+34 612 345 678", "+33 1 23 45 67 89", "+49 30 123456", "+34612345678", "+44 20 7946 0958", "+351 912 345 678", "+33 (0)1 23 45 67 89", "+49-151-23456789"])
+def test_international_phones(spark, phone):
+    (a, b), n = run(spark, [f"call {phone}, then", f"call {phone}"])
+    new = b[5:]
+    assert a == f"call {new}, then" and new != phone and n == [1, 1]
+    assert re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", phone) and new[:2] == phone[:2]
+
+
+def test_numbers_beside_international_phones(spark):
+    (a, b, c), n = run(spark, ["+34 612 345 678 2024", "+34 612 345 678 4111 1111 1111 1111", "+1.23456789 and +12 34 or +5"])
+    assert a.endswith(" 2024") and n[0] == 1 and "612 345 678" not in a
+    assert n[1] == 2 and a[:15] == b[:15] and luhn(re.sub(r"\D", "", b[16:]))
+    assert c == "+1.23456789 and +12 34 or +5" and n[2] == 0
