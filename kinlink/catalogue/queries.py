@@ -246,6 +246,15 @@ def _string_pairs(spark, sf_dir):
     return A.view(spark, sf_dir, S.STRING_PAIRS)
 
 
+def _part_pairs(spark, sf_dir):
+    """The strings of every part and supplier that meet in an order, by their own keys."""
+    sql = """
+SELECT qi, si, CAST(qi * 37 % 9973 AS STRING) AS q_pnum, CAST(si * 91 % 9973 AS STRING) AS s_pnum, q.p_name || ' ' || q.p_type AS q_core, s.p_name AS s_core, q.p_type AS q_city, s.p_type AS s_city
+FROM (SELECT DISTINCT l_partkey AS qi, l_suppkey AS si FROM lineitem) c JOIN part q ON q.p_partkey = qi JOIN part s ON s.p_partkey = si
+"""
+    return A.view(spark, sf_dir, sql)
+
+
 @query(S.LEVENSHTEIN)
 def levenshtein_feat(spark, sf_dir):
     return _string_pairs(spark, sf_dir).select("qi", "si", F.levenshtein("q_pnum", "s_pnum").alias("pnum_lev"))
@@ -267,14 +276,14 @@ def indel_ratio(spark, sf_dir):
 def token_set_ratio(spark, sf_dir):
     """Token-set similarity of the core names."""
     ship(spark)
-    return rounded(_string_pairs(spark, sf_dir).select("qi", "si", score("token_set_ratio", F.col("q_core"), F.col("s_core")).alias("n_tset")))
+    return rounded(_part_pairs(spark, sf_dir).select("qi", "si", score("token_set_ratio", F.col("q_core"), F.col("s_core")).alias("n_tset")))
 
 
 @query()
 def string_scores(spark, sf_dir):
     """All similarity scores of the claims' strings."""
     ship(spark)
-    d = _string_pairs(spark, sf_dir)
+    d = _part_pairs(spark, sf_dir)
     for c in ("skel", "nm", "alt", "ad", "nums"):
         d = d.withColumn(f"q_{c}", F.col("q_core")).withColumn(f"s_{c}", F.col("s_core"))
     return rounded(features.string_scores(d).select("qi", "si", "pnum_lev", *features.STRING_SCORES))

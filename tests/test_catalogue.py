@@ -44,6 +44,12 @@ def test_query_runs(spark, name):
     assert catalogue.queries()[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("name", ["token_set_ratio", "string_scores"])
+def test_every_part_and_supplier_of_an_order_is_compared(spark, duck, name):
+    got = {(r["qi"], r["si"]) for r in catalogue.queries()[name](spark, SF).select("qi", "si").collect()}
+    assert got == set(duck.execute("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem").fetchall())
+
+
 def test_imports_without_the_corpus_operators(tmp_path):
     """The rest stands alone when the llm folders and the pipeline are deleted."""
     shutil.copytree(f"{ROOT}/kinlink", tmp_path / "kinlink", ignore=shutil.ignore_patterns("llm", "__pycache__"))
