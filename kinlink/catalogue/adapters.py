@@ -47,16 +47,13 @@ SELECT p_partkey AS id, 'S' || CAST(1 + p_partkey % 3 AS STRING) || '-' || CAST(
     ELSE 'H.No ' || CAST(p_size AS STRING) || 'b/' || CAST(p_partkey % 100 AS STRING) || ' Mg Road, tn' END AS business_address
 FROM part
 """
-#: Normalised records with short fields, from the documents: side 1 is the index.
+#: Normalised records with the short fields of every part: side 1 is the index.
 SHORT = """
-SELECT doc_id AS id, lang AS country, CAST(1 + doc_id % 3 AS INT) AS side,
-       concat_ws(' ', {w}[{o} + 0], {w}[{o} + 1]) AS core, translate(concat_ws(' ', {w}[{o} + 0], {w}[{o} + 1]), 'aeiouyh', '') AS skel,
-       CASE WHEN doc_id % 5 = 0 THEN coalesce({w}[{o} + 2], '') ELSE '' END AS alt, concat_ws(' ', {w}[{o} + 2], {w}[{o} + 3], {w}[{o} + 4]) AS ad,
-       CAST(length(text) % 30 AS STRING) || ' ' || CAST(length(text) % 7 AS STRING) AS nums, CASE WHEN doc_id % 4 = 0 THEN '' ELSE CAST(length(text) % 30 AS STRING) END AS pnum
-FROM (SELECT doc_id, lang, text, {words} AS w FROM documents WHERE text IS NOT NULL) d WHERE {size}(w) >= 5
+SELECT p_partkey AS id, p_type AS country, CAST(1 + p_partkey % 3 AS INT) AS side, lower(p_name) AS core, translate(lower(p_name), 'aeiouyh', '') AS skel,
+       CASE WHEN p_partkey % 5 = 0 THEN lower(p_type) ELSE '' END AS alt, replace(lower(p_brand), '#', '') || ' ' || lower(p_name) AS ad,
+       CAST(p_size AS STRING) || ' ' || CAST(CAST(floor(p_retailprice) AS BIGINT) AS STRING) AS nums, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE CAST(p_size AS STRING) END AS pnum
+FROM part
 """
-SHORT_SPARK = SHORT.format(w="w", o="0", size="size", words="regexp_extract_all(lower(text), '[a-z]+', 0)")
-SHORT_DUCK = SHORT.format(w="w", o="1", size="len", words="regexp_extract_all(lower(text), '[a-z]+')")
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

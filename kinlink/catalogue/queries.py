@@ -21,8 +21,6 @@ from kinlink.sources import tables
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-#: Document-frequency cap of the retrieval queries: the production share, with a floor that bites at small scale.
-CAP = {"df_share": 0.01, "df_floor": 20}
 GATE = 0.9
 
 
@@ -57,8 +55,7 @@ def short_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 
 def _short_with_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts are read once; what follows reads the short fields."""
-    return keep(add_tokens(keep(A.view(spark, sf_dir, A.SHORT_SPARK), "short")), "short-tokens")
+    return keep(add_tokens(A.view(spark, sf_dir, A.SHORT)), "short-tokens")
 
 
 # ---------------------------------------------------------------- sources and sinks
@@ -185,25 +182,25 @@ def blocking_keys(spark, sf_dir):
 @query(S.VOCABULARY)
 def idf_vocab(spark, sf_dir):
     index, _ = short_records(spark, sf_dir)
-    return rounded(retrieval.vocabulary(index, "ntok", **CAP))
+    return rounded(retrieval.vocabulary(index, "ntok"))
 
 
 @query(S.WEIGHTS)
 def tfidf_weights(spark, sf_dir):
     index, q = short_records(spark, sf_dir)
-    return rounded(retrieval.postings(q, "atok", retrieval.vocabulary(index, "atok", **CAP)))
+    return rounded(retrieval.postings(q, "atok", retrieval.vocabulary(index, "atok")))
 
 
 @query(S.TOP_NAME)
 def cosine_topk_name(spark, sf_dir):
     index, q = short_records(spark, sf_dir)
-    return rounded(retrieval.top_k(retrieval.cosines(index, q, "ntok", **CAP), "cos", 10, "rk"), 12)
+    return rounded(retrieval.top_k(retrieval.cosines(index, q, "ntok"), "cos", 10, "rk"), 12)
 
 
 @query(S.TOP_BOTH)
 def cosine_topk_combined(spark, sf_dir):
     index, q = short_records(spark, sf_dir)
-    both = retrieval.both_channels(retrieval.cosines(index, q, "ntok", **CAP), retrieval.cosines(index, q, "atok", **CAP))
+    both = retrieval.both_channels(retrieval.cosines(index, q, "ntok"), retrieval.cosines(index, q, "atok"))
     return rounded(retrieval.top_k(both, "cos_c", 15, "rk"), 12)
 
 
@@ -213,7 +210,7 @@ def key_candidates_capped(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir):
-    return retrieval.candidates(*short_records(spark, sf_dir), **CAP)
+    return retrieval.candidates(*short_records(spark, sf_dir))
 
 
 @query(S.CANDIDATES)
@@ -246,15 +243,6 @@ def _string_pairs(spark, sf_dir):
     return A.view(spark, sf_dir, S.STRING_PAIRS)
 
 
-def _part_pairs(spark, sf_dir):
-    """The strings of every part and supplier that meet in an order, by their own keys."""
-    sql = """
-SELECT qi, si, CAST(qi * 37 % 9973 AS STRING) AS q_pnum, CAST(si * 91 % 9973 AS STRING) AS s_pnum, q.p_name || ' ' || q.p_type AS q_core, s.p_name AS s_core, q.p_type AS q_city, s.p_type AS s_city
-FROM (SELECT DISTINCT l_partkey AS qi, l_suppkey AS si FROM lineitem) c JOIN part q ON q.p_partkey = qi JOIN part s ON s.p_partkey = si
-"""
-    return A.view(spark, sf_dir, sql)
-
-
 @query(S.LEVENSHTEIN)
 def levenshtein_feat(spark, sf_dir):
     return _string_pairs(spark, sf_dir).select("qi", "si", F.levenshtein("q_pnum", "s_pnum").alias("pnum_lev"))
@@ -276,17 +264,14 @@ def indel_ratio(spark, sf_dir):
 def token_set_ratio(spark, sf_dir):
     """Token-set similarity of the core names."""
     ship(spark)
-    return rounded(_part_pairs(spark, sf_dir).select("qi", "si", score("token_set_ratio", F.col("q_core"), F.col("s_core")).alias("n_tset")))
+    return rounded(_string_pairs(spark, sf_dir).select("qi", "si", score("token_set_ratio", F.col("q_core"), F.col("s_core")).alias("n_tset")))
 
 
 @query()
 def string_scores(spark, sf_dir):
-    """All similarity scores of the claims' strings."""
+    """All similarity scores of the strings of parts and suppliers, each on its own field."""
     ship(spark)
-    d = _part_pairs(spark, sf_dir)
-    for c in ("skel", "nm", "alt", "ad", "nums"):
-        d = d.withColumn(f"q_{c}", F.col("q_core")).withColumn(f"s_{c}", F.col("s_core"))
-    return rounded(features.string_scores(d).select("qi", "si", "pnum_lev", *features.STRING_SCORES))
+    return rounded(features.string_scores(_string_pairs(spark, sf_dir)).select("qi", "si", "pnum_lev", *features.STRING_SCORES))
 
 
 @query(S.OVERLAPS)
@@ -311,18 +296,19 @@ def nums_minabs(spark, sf_dir):
 @query(S.DIFFERENCES)
 def idf_diff_feats(spark, sf_dir):
     index, q = short_records(spark, sf_dir)
-    pairs = keep(retrieval.key_candidates(index, q), "pairs").select("qi", "si")
-    d = pairs.join(q.select(F.col("id").alias("qi"), F.col("ad").alias("q_ad")), "qi").join(index.select(F.col("id").alias("si"), F.col("ad").alias("s_ad")), "si")
-    return rounded(features.word_differences(d, features.word_idf(index, "ad"), index.count(), "ad", "da").drop("q_ad", "s_ad"))
+    pairs = retrieval.key_candidates(index, q).select("qi", "si")
+    idf, n = features.word_idf(index, "ad"), index.count()
+    side = lambda r, p: features.with_word_idf(r.select("id", "ad"), idf, n, "ad").select(F.col("id").alias(f"{p}i"), F.col("ad_idf").alias(f"{p}_ad_idf"))
+    d = pairs.join(side(q, "q"), "qi").join(side(index, "s"), "si")
+    return rounded(features.word_differences(d, "ad", "da").drop("q_ad_idf", "s_ad_idf"))
 
 
 @query(S.AMBIGUITY)
 def ambiguity_counts(spark, sf_dir):
     index, q = short_records(spark, sf_dir)
-    pairs = keep(retrieval.key_candidates(index, q), "pairs").select("qi", "si")
-    side = lambda r, i, p: r.select(F.col("id").alias(i), *(["country"] if p == "q" else []), F.col("core").alias(f"{p}_core"), F.col("skel").alias(f"{p}_skel"))
-    d = pairs.join(side(q, "qi", "q"), "qi").join(side(index, "si", "s"), "si")
-    return features.ambiguity(d, index).select("qi", "si", *linkage.AMBIGUITY)
+    pairs = retrieval.key_candidates(index, q).select("qi", "si")
+    side = lambda r, p: features.with_ambiguity(r, index).select(F.col("id").alias(f"{p}i"), *[F.col(f"{c}_cnt").alias(f"{p}_{c}_cnt") for c in ("core", "skel")])
+    return pairs.join(side(q, "q"), "qi").join(side(index, "s"), "si").select("qi", "si", *linkage.AMBIGUITY)
 
 
 # ---------------------------------------------------------------- context
@@ -399,9 +385,14 @@ def threshold_sweep(spark, sf_dir):
     return decide.threshold_sweep(A.view(spark, sf_dir, A.CLAIMS), "p2", A.view(spark, sf_dir, A.TRUTH), A.view(spark, sf_dir, A.UNIVERSE))
 
 
+def _best(spark, sf_dir):
+    """The best claim of every query, with its strings."""
+    return decide.best_per_query(A.view(spark, sf_dir, A.CLAIM_PAIRS), "p2")
+
+
 def _sides(spark, sf_dir):
-    """(train, test): best claims of even and odd queries, with strings."""
-    best = decide.best_per_query(A.view(spark, sf_dir, A.CLAIM_PAIRS), "p2")
+    """(train, test) of a calibration: the best claims of even and of odd queries."""
+    best = _best(spark, sf_dir)
     return best.filter("qi % 2 = 0"), best.filter("qi % 2 = 1")
 
 
@@ -434,7 +425,7 @@ def simulate_f05(spark, sf_dir):
 
 @query(S.OFFSETS)
 def twin_offset(spark, sf_dir):
-    return decide.house_offset(_sides(spark, sf_dir)[1]).select("qi", "si", "d", "grp")
+    return decide.house_offset(_best(spark, sf_dir)).select("qi", "si", "d", "grp")
 
 
 @query(S.GATE)
@@ -445,7 +436,7 @@ def twin_gate(spark, sf_dir):
 
 @query(S.GATED)
 def gated_matches(spark, sf_dir):
-    return decide.gated_matches(_sides(spark, sf_dir)[1], "p2", GATE)
+    return decide.gated_matches(_best(spark, sf_dir), "p2", GATE)
 
 
 @query(S.BLEND)
@@ -481,7 +472,7 @@ def linkage_end_to_end(spark, sf_dir):
     """Raw records to candidates with all pair features: the parts as both sources."""
     r = keep(linkage.normalise(A.view(spark, sf_dir, A.RECORDS)), "records")
     index, q = r.filter("id % 3 = 0"), r.filter("id % 3 <> 0")
-    c = keep(linkage.candidate_features(index, q, **CAP), "link-candidates")
+    c = keep(linkage.candidate_features(index, q), "link-candidates")
     return rounded(linkage.pair_features(c, index, q).select("qi", "si", *linkage.STAGE1, *linkage.PAIR))
 
 

@@ -11,6 +11,8 @@ from kinlink.operators import addresses as P
 from kinlink.operators import decide as D
 from kinlink.operators import names as N
 
+MERGED, MERGED_TO = "".join(T.SKELETON_MERGED), "".join(T.SKELETON_MERGED.values())
+
 
 def _map(table: dict[str, str]) -> str:
     return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in table.items()) + "}"
@@ -23,9 +25,9 @@ def _list(words) -> str:
 def skel(x: str) -> str:
     """SQL of the skeleton: run collapse by comparing neighbours, since RE2 has no back-references."""
     y = x
-    for a, b in T.skeleton_rewrites():
+    for a, b in T.SKELETON_REWRITES:
         y = f"replace({y}, '{a}', '{b}')"
-    z = f"translate({y}, '{T.SKELETON_FROM}{T.SKELETON_DROPPED}', '{T.SKELETON_TO}')"
+    z = f"translate({y}, '{MERGED}{T.SKELETON_DROPPED}', '{MERGED_TO}')"
     c = f"array_to_string(list_transform(list_filter(range(1, length({z}) + 1), lambda i: i = 1 OR substr({z}, i::INT, 1) <> substr({z}, (i - 1)::INT, 1)), lambda i: substr({z}, i::INT, 1)), '')"
     return f"(CASE WHEN {z} = '' THEN substr({y}, 1, 1) ELSE {c} END)"
 
@@ -43,14 +45,14 @@ FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]+')) AS wor
 SKELETON = f"SELECT word, {skel('word')} AS skel FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)"
 
 _LEGAL = _list(N.legal_forms())
-_STOPS = _list(N.NAME_STOPS.split())
+_STOPS = _list(N.NAME_STOPS)
 
 
 def _tokens(x: str) -> str:
     """The adapter's names have no dotted abbreviation but l.l.c. and no script but Latin."""
     words = f"list_filter(string_split(regexp_replace(replace(replace(replace(replace({x}, 'l.l.c', 'llc'), '&', ' and '), '+', ' and '), '''', ''), '[^a-z0-9 ]+', ' ', 'g'), ' '), lambda w: w <> '' AND w <> 'l')"
-    by_skel = f"CASE WHEN length(w) >= 5 THEN element_at({_map(N.pairs(N.LEGAL_SKELETONS))}, {skel('w')})[1] END"
-    return f"list_transform({words}, lambda w: coalesce(element_at({_map(N.pairs(N.LEGAL_FORMS))}, w)[1], {by_skel}, w))"
+    by_skel = f"CASE WHEN length(w) >= 5 THEN element_at({_map(N.LEGAL_SKELETONS)}, {skel('w')})[1] END"
+    return f"list_transform({words}, lambda w: coalesce(element_at({_map(N.LEGAL_FORMS)}, w)[1], {by_skel}, w))"
 
 
 _NAME_CTE = f"""
@@ -74,7 +76,7 @@ NAMES_LEGAL = _NAME_CTE + "SELECT legal, count(*) AS records, sum(len(string_spl
 NAMES_DOMAIN = _NAME_CTE + "SELECT id, core FROM names WHERE dom = 1"
 NAMES_ALIAS = _NAME_CTE + "SELECT id, alt, nm FROM names WHERE alt <> ''"
 
-_CODES = f"CASE lower(country) WHEN 'us' THEN {_map(N.pairs(P.US_STATES))} ELSE {_map(N.pairs(P.INDIA_STATES))} END"
+_CODES = f"CASE lower(country) WHEN 'us' THEN {_map({k: P.joined(v) for k, v in P.US_STATES.items()})} ELSE {_map({k: P.joined(v) for k, v in P.INDIA_STATES.items()})} END"
 _ADDRESS_CTE = f"""
 WITH comps AS (
   SELECT id, country, k, trim(c) AS raw FROM (
@@ -82,15 +84,15 @@ WITH comps AS (
     FROM (SELECT id, country, regexp_replace(lower(coalesce(business_address, '')), '\\bp\\.?\\s*o\\.?\\s*box\\s*#?\\s*[0-9]+', ' ', 'g') AS s FROM ({A.RECORDS})))),
 clean AS (
   SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(replace(raw, '''', ''), '[./-]', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS c
-  FROM comps WHERE raw NOT IN ('', {", ".join(f"'{w}'" for w in P.NULL_LIKE.split())})),
+  FROM comps WHERE raw NOT IN ('', {", ".join(f"'{w}'" for w in P.NULL_LIKE)})),
 stated AS (
   SELECT *, c = 'new delhi' AS plain, CASE WHEN c <> 'new delhi' THEN coalesce(element_at({_map(P.state_names())}, c)[1], CASE WHEN regexp_full_match(c, '[a-z0-9][a-z0-9]') AND NOT regexp_full_match(c, '[0-9]+') THEN element_at({_CODES}, c)[1] END) END AS st
   FROM clean WHERE c <> ''),
 parts AS (
   SELECT *, CASE WHEN plain THEN [] ELSE list_transform(regexp_extract_all(raw, '[0-9]+'), lambda x: CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE ltrim(x, '0') END) END AS nums,
     CASE WHEN plain THEN string_split(c, ' ') ELSE list_filter(list_transform(list_filter(list_transform(list_filter(string_split(c, ' '), lambda w: NOT regexp_full_match(w, '[0-9]+')),
-      lambda w: CASE WHEN NOT regexp_matches(w, '[0-9]') THEN w WHEN length(regexp_replace(w, '[0-9]+', '', 'g')) <= 1 OR list_contains({_list(P.ORDINALS.split())}, regexp_replace(w, '[0-9]+', '', 'g')) THEN '' ELSE regexp_replace(w, '[0-9]+', '', 'g') END),
-      lambda w: w <> ''), lambda w: coalesce(element_at({_map(N.pairs(P.ABBREVIATIONS))}, w)[1], w)), lambda w: NOT list_contains({_list(P.ADDRESS_STOPS.split())}, w)) END AS words,
+      lambda w: CASE WHEN NOT regexp_matches(w, '[0-9]') THEN w WHEN length(regexp_replace(w, '[0-9]+', '', 'g')) <= 1 OR list_contains({_list(P.ORDINALS)}, regexp_replace(w, '[0-9]+', '', 'g')) THEN '' ELSE regexp_replace(w, '[0-9]+', '', 'g') END),
+      lambda w: w <> ''), lambda w: coalesce(element_at({_map(P.ABBREVIATIONS)}, w)[1], w)), lambda w: NOT list_contains({_list(P.ADDRESS_STOPS)}, w)) END AS words,
     regexp_matches(raw, '^\\W*(?:no\\.?\\s*|#\\s*|h\\.?\\s*no\\.?\\s*)?\\(?[0-9]') AS leads FROM stated),
 grouped AS (
   SELECT id, flatten(list(words ORDER BY k) FILTER (st IS NULL)) AS w, flatten(list(nums ORDER BY k) FILTER (st IS NULL)) AS n,
@@ -115,7 +117,7 @@ def _tag(tag: str, col: str, least: int, skeleton: bool = False) -> str:
 
 _CAT = skel("replace(core, ' ', '')")
 _BAGS = f"""
-WITH r AS MATERIALIZED ({A.SHORT_DUCK}),
+WITH r AS MATERIALIZED ({A.SHORT}),
 bags AS MATERIALIZED (
   SELECT *, {_CAT} AS cat, list_filter(list_distinct(list_concat(list_concat({_tag('w:', 'core', 2)}, {_tag('k:', 'core', 2, True)}), list_concat(list_concat({_tag('w:', 'alt', 3)}, {_tag('k:', 'alt', 3, True)}), ['c:' || {_CAT}]))), lambda t: length(t) > 2) AS ntok,
     list_distinct(list_concat(list_concat({_tag('a:', 'ad', 3)}, {_tag('d:', 'nums', 1)}), list_concat(
@@ -135,7 +137,7 @@ def _channel(x: str) -> str:
     t = f"{x}tok"
     return f""",
 n{x} AS (SELECT country, count(*) AS n FROM bags WHERE side = 1 GROUP BY country),
-v{x} AS (SELECT country, tok, df, ln(n / df) AS idf FROM (SELECT country, tok, count(*) AS df FROM (SELECT country, unnest({t}) AS tok FROM bags WHERE side = 1) GROUP BY ALL) JOIN n{x} USING (country) WHERE df <= greatest(20, floor(n * 0.01))),
+v{x} AS (SELECT country, tok, df, ln(n / df) AS idf FROM (SELECT country, tok, count(*) AS df FROM (SELECT country, unnest({t}) AS tok FROM bags WHERE side = 1) GROUP BY ALL) JOIN n{x} USING (country) WHERE df <= greatest(2000, floor(n * 0.01))),
 w{x} AS (SELECT id, side, country, tok, idf, sqrt(sum(idf * idf) OVER (PARTITION BY id)) AS norm FROM (SELECT id, side, country, unnest({t}) AS tok FROM bags) JOIN v{x} USING (country, tok)),
 u{x} AS (SELECT id, side, country, tok, CASE WHEN norm > 0 THEN idf / norm ELSE 0 END AS w FROM w{x}),
 c{x} AS (SELECT q.id AS qi, s.id AS si, round(sum(q.w * s.w), 9) AS cos FROM u{x} q JOIN u{x} s ON q.country = s.country AND q.tok = s.tok AND q.side <> 1 AND s.side = 1 GROUP BY ALL)"""
@@ -185,9 +187,12 @@ FROM ({A.TRUTH}) t LEFT JOIN (SELECT qi, si, row_number() OVER (PARTITION BY qi
 """
 
 #: Inputs of the pair-feature queries, in SQL that both dialects read.
-STRING_PAIRS = f"""
-SELECT qi, si, CAST(qi * 37 % 9973 AS STRING) AS q_pnum, CAST(si * 91 % 9973 AS STRING) AS s_pnum, q.p_name || ' ' || q.p_type AS q_core, s.p_name AS s_core, q.p_type AS q_city, s.p_type AS s_city
-FROM (SELECT DISTINCT l_orderkey % 500 AS qi, l_suppkey AS si FROM lineitem) c JOIN part q ON q.p_partkey = qi JOIN part s ON s.p_partkey = si
+#: Every part and supplier that meet in an order, by their own keys, each field with words of its own.
+STRING_PAIRS = """
+SELECT qi, si, CAST(qi * 37 % 9973 AS STRING) AS q_pnum, CAST(si * 91 % 9973 AS STRING) AS s_pnum, q.p_name || ' ' || q.p_type AS q_core, s.p_name AS s_core, q.p_type AS q_city, s.p_type AS s_city,
+  translate(q.p_name, 'aeiou', '') AS q_skel, translate(s.p_name, 'aeiou', '') AS s_skel, q.p_name || ' ltd' AS q_nm, s.p_name || ' inc' AS s_nm, CASE WHEN qi % 5 = 0 THEN s.p_type || ' works' ELSE '' END AS q_alt, '' AS s_alt,
+  lower(q.p_brand) || ' ' || q.p_type || ' road' AS q_ad, lower(s.p_brand) || ' road ' || s.p_type AS s_ad, CAST(q.p_size AS STRING) || ' ' || CAST(qi % 9 AS STRING) AS q_nums, CAST(s.p_size AS STRING) AS s_nums
+FROM (SELECT DISTINCT l_partkey AS qi, l_suppkey AS si FROM lineitem) c JOIN part q ON q.p_partkey = qi JOIN part s ON s.p_partkey = si
 """
 _EQ = "CASE WHEN q_{0} = '' OR s_{0} = '' THEN -1 WHEN q_{0} = s_{0} THEN 1 ELSE 0 END AS {0}_eq"
 LEVENSHTEIN = f"SELECT qi, si, levenshtein(q_pnum, s_pnum) AS pnum_lev FROM ({STRING_PAIRS})"
@@ -227,7 +232,7 @@ FROM ({OVERLAP_PAIRS})
 DIGIT_PAIRS = f"""
 SELECT qi, si, CASE WHEN qi % 11 = 0 THEN '' WHEN qi % 13 = 0 THEN '12345678901234' ELSE CAST(qi * 37 % 9973 AS STRING) END AS q_pnum, CASE WHEN si % 7 = 0 THEN '' ELSE CAST(si * 91 % 9973 AS STRING) END AS s_pnum,
   CAST(qi % 5 AS STRING) || ' ' || CAST(si * 91 % 9973 AS STRING) AS q_nums, CASE WHEN si % 4 = 0 THEN '' ELSE CAST(si % 5 AS STRING) || ' ' || CAST(qi * 37 % 9973 AS STRING) || ' x' END AS s_nums
-FROM (SELECT DISTINCT l_orderkey % 500 AS qi, l_suppkey AS si FROM lineitem) c
+FROM (SELECT DISTINCT l_partkey AS qi, l_suppkey AS si FROM lineitem) c
 """
 DIGITS = f"""
 WITH p AS (SELECT *, q_pnum <> '' AND s_pnum <> '' AS ok, lpad(left(q_pnum, 10), 10, '_') AS a, lpad(left(s_pnum, 10), 10, '_') AS b, coalesce(try_cast(left(q_pnum, 12) AS BIGINT), -1) AS x, coalesce(try_cast(left(s_pnum, 12) AS BIGINT), -1) AS y FROM ({DIGIT_PAIRS})),
@@ -347,7 +352,7 @@ SELECT stratum, b, n_tr, pos_tr::BIGINT AS pos_tr, n_te, round(pos_te, 6) AS pos
 """
 _OFFSET = f"coalesce(abs(try_cast(q_pnum AS BIGINT) - try_cast(s_pnum AS BIGINT)), -1)"
 _GRP = f"CASE WHEN {_OFFSET} IN ({', '.join(map(str, D.TWIN_OFFSETS))}) THEN 'twin' ELSE 'other' END"
-OFFSETS = _BEST + f" SELECT qi, si, {_OFFSET} AS d, {_GRP} AS grp FROM best WHERE qi % 2 = 1"
+OFFSETS = _BEST + f" SELECT qi, si, {_OFFSET} AS d, {_GRP} AS grp FROM best"
 _GB = _band(D.GATE_BANDS, ">=")
 GATE = _BEST + f""",
 g AS (SELECT *, {_GRP} AS grp, {_GB} AS b FROM best),
@@ -356,7 +361,7 @@ t AS (SELECT grp, b, coalesce(true_per_s1, 0) AS tp, coalesce(prec_tr, 0) AS pre
 SELECT grp, b, round(tp, 6) AS true_per_s1, round(prec_tr, 6) AS prec_tr, n_tr, round(ts, 6) AS te_per_s1, n_te, round(CASE WHEN ts > 0 THEN least(1, tp / ts) WHEN tp > 0 THEN 1 ELSE 0 END, 6) AS prec_te,
   ([{', '.join(f'{x}::DOUBLE' for x in [0.0, *D.GATE_BANDS])}])[b + 1] AS lo FROM t
 """
-GATED = _BEST + _expected("qi % 2 = 1") + f" SELECT ef.si, ef.qi FROM ef JOIN pick USING (si) JOIN best ON best.qi = ef.qi WHERE k <= kstar AND NOT ({_GRP} = 'twin' AND p <= 0.9)"
+GATED = _BEST + _expected() + f" SELECT ef.si, ef.qi FROM ef JOIN pick USING (si) JOIN best ON best.qi = ef.qi WHERE k <= kstar AND NOT ({_GRP} = 'twin' AND p <= 0.9)"
 BLEND = f"WITH c AS ({A.CLAIMS}) SELECT qi, si, round(CASE WHEN si % 3 <> 0 THEN 0.5::DOUBLE * p2 + 0.5::DOUBLE * p3 ELSE p2 END, 6) AS pb FROM c"
 FOLDS = f"SELECT CAST(qi % 2 AS INT) AS fold, count(*) AS claims, count(DISTINCT qi) AS queries FROM ({A.CLAIMS}) GROUP BY 1"
 #: A result table with planted faults of every kind.
@@ -378,4 +383,4 @@ UNION ALL SELECT 'unknown_id', id FROM e WHERE regexp_matches(id, '^S[23]-') AND
 UNION ALL SELECT 'missing', s FROM req WHERE s NOT IN (SELECT s FROM l)
 UNION ALL SELECT DISTINCT 'extra', s FROM l WHERE s NOT IN (SELECT s FROM req)
 """
-STREAM = _BAGS + " SELECT q.id AS qi, s.id AS si FROM keys q JOIN keys s ON s.side = 1 AND q.side <> 1 AND q.country = s.country AND q.key_core = s.key_core"
+STREAM = _BAGS + " SELECT q.id AS qi, s.id AS si FROM keys q JOIN keys s ON s.side = 1 AND q.side <> 1 AND q.country = s.country AND q.key_core = s.key_core WHERE (SELECT count(*) FROM keys x WHERE x.side = 1 AND x.country = s.country AND x.key_core = s.key_core) <= 10"

@@ -7,6 +7,7 @@ a bound.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import pandas as pd
@@ -18,13 +19,20 @@ from pyspark.sql import functions as F
 KNOWN = 100_000
 
 
+@functools.lru_cache(maxsize=4096)
+def _masks(a: str) -> dict[str, int]:
+    """The places of each letter as bits."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << i
+    return masks
+
+
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, bit-parallel."""
     if not a or not b:
         return 0
-    masks: dict[str, int] = {}
-    for i, c in enumerate(a):
-        masks[c] = masks.get(c, 0) | 1 << i
+    masks = _masks(a)
     full = (1 << len(a)) - 1
     row = full
     for c in b:
@@ -52,8 +60,12 @@ def _best_stretch(a: str, b: str) -> float:
     if a in b:
         return 100.0
     best, n = 0.0, len(a)
+    letters = [c in _masks(a) for c in b]
     for i in range(1 - n, len(b)):
-        best = max(best, ratio(a, b[max(0, i) : i + n]))
+        window = b[max(0, i) : i + n]
+        most = sum(letters[max(0, i) : i + n])  # no common subsequence is longer
+        if 200.0 * most > best * (n + len(window)):
+            best = max(best, ratio(a, window))
     return best
 
 
@@ -117,19 +129,40 @@ def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:
 SCORERS: dict[str, Callable[[str, str], float]] = {f.__name__: f for f in (ratio, partial_ratio, token_sort_ratio, token_set_ratio, partial_token_set_ratio, jaro_winkler)}
 
 
+class _Known:
+    """Scores of distinct pairs, remembered up to KNOWN of them."""
+
+    def __init__(self, scorer: Callable[[str, str], float]):
+        self.scorer, self.known = scorer, {}
+
+    def __call__(self, x: pd.Series, y: pd.Series) -> pd.Series:
+        known = self.known
+        if len(known) > KNOWN:
+            known.clear()
+        pairs = list(zip(x, y))
+        for p in set(pairs) - known.keys():
+            known[p] = self.scorer(*p)
+        return pd.Series([known[p] for p in pairs], dtype="float64")
+
+
 def score(name: str, a: Column, b: Column) -> Column:
     """The scorer over two string columns; nulls count as empty."""
-    scorer = SCORERS[name]
-    known: dict[tuple[str, str], float] = {}  # of this task's worker
+    known = _Known(SCORERS[name])  # each worker gets its own
 
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        if len(known) > KNOWN:
-            known.clear()
-        out = []
-        for p in zip(x, y):
-            if p not in known:
-                known[p] = scorer(*p)
-            out.append(known[p])
-        return pd.Series(out, dtype="float64")
+        return known(x, y)
 
     return F.pandas_udf(run, "double")(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
+
+
+def scores(wanted: dict[str, tuple[str, str, str]], columns: dict[str, Column]) -> Column:
+    """A struct of several scores in one function: {score: (scorer, column, column)} over named string columns."""
+    names = list(columns)
+    known = {k: _Known(SCORERS[f]) for k, (f, _, _) in wanted.items()}
+
+    def run(*series: pd.Series) -> pd.DataFrame:
+        by_name = dict(zip(names, series))
+        return pd.DataFrame({k: known[k](by_name[a], by_name[b]) for k, (_, a, b) in wanted.items()})
+
+    run.__annotations__ = {"series": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(run, ", ".join(f"{k} double" for k in wanted))(*[F.coalesce(c, F.lit("")) for c in columns.values()])

@@ -13,6 +13,16 @@ from pyspark.sql.window import Window
 from kinlink.functions.scorers import score as similarity
 
 TOP_SCORE = 0.5
+CLAIMS = [
+    "p2rk", "q_p2max", "q_marg", "q_p2sum", "q_n", "s_n", "s_p2sum_o", "s_p2max_o", "s_srk", "s_ntop_o",
+    "s_ntop_same_src_o", "s_top_p2mean_o", "is_qtop",
+]
+CONSENSUS = [
+    "c_pn_same", "c_pn_same_p2", "c_core_same", "c_core_same_p2", "c_pn_is_mode", "c_mode_eq_s1", "c_core_is_mode",
+    "c_cmode_eq_s1", "c_pn_s_agree_p2",
+]
+ATTRIBUTES = ["legal", "st", "city", "pnum"]
+AGREEMENT = ["eq_s1", "same", "same_p", "is_mode", "mode_eq_s1"]
 
 
 def _nth(by: str, key: str, tie: str, n: int) -> Column:
@@ -70,50 +80,61 @@ def weighted_mode(d: DataFrame, value: str, score: str, out: str, keys: tuple[st
     return sums.withColumn("__k", F.row_number().over(w)).filter("__k = 1").drop("__k", "__w")
 
 
+def _mode(value: Column, weight: Column) -> Column:
+    """``weighted_mode`` of the entity beside each of its claims, without a join; null weights don't count."""
+    return F.first(F.when(weight.isNotNull(), value)).over(Window.partitionBy("si").orderBy(F.desc_nulls_last(weight), value))
+
+
 def consensus(d: DataFrame, score: str = "p2", suffix: str = "") -> DataFrame:
-    """Agreement of the claimants on house number and core name.
+    """Agreement of the claimants on house number and core name; one exchange by entity serves all windows.
 
     ``d`` has q_pnum, s_pnum, q_core, s_core; nulls count as empty.
     """
-    for c in ("q_pnum", "s_pnum", "q_core", "s_core"):
-        d = d.withColumn(c, F.coalesce(c, F.lit("")))
+    d = d.withColumns({c: F.coalesce(c, F.lit("")) for c in ("q_pnum", "s_pnum", "q_core", "s_core")})
     p, has = F.col(score), F.col("q_pnum") != ""
     s, by_number, by_core = (Window.partitionBy(*k) for k in (("si",), ("si", "q_pnum"), ("si", "q_core")))
     agrees = F.when(F.col("q_pnum") == F.col("s_pnum"), p).otherwise(0.0)
-    d = d.join(weighted_mode(d.filter(has), "q_pnum", score, "__pm"), "si", "left").join(weighted_mode(d, "q_core", score, "__cm"), "si", "left")
+    sums = {"__ns": F.sum(score).over(by_number), "__cs": F.sum(score).over(by_core), "__as": F.sum(agrees).over(s)}
+    counts = {"__nn": F.count(F.lit(1)).over(by_number) - 1, "__cn": F.count(F.lit(1)).over(by_core) - 1}
+    d = d.withColumns(sums | counts).withColumns({"__nw": F.when(has, F.round("__ns", 9)), "__cw": F.round("__cs", 9)})
+    d = d.withColumns({"__pm": _mode(F.col("q_pnum"), F.col("__nw")), "__cm": _mode(F.col("q_core"), F.col("__cw"))})
     return d.withColumns(
         {
-            f"c_pn_same{suffix}": F.when(has, F.count(F.lit(1)).over(by_number) - 1).otherwise(-1),
-            f"c_pn_same_p2{suffix}": F.when(has, F.sum(score).over(by_number) - p).otherwise(-1.0),
-            f"c_core_same{suffix}": F.count(F.lit(1)).over(by_core) - 1,
-            f"c_core_same_p2{suffix}": F.sum(score).over(by_core) - p,
-            f"c_pn_s_agree_p2{suffix}": F.sum(agrees).over(s) - agrees,
+            f"c_pn_same{suffix}": F.when(has, F.col("__nn")).otherwise(-1),
+            f"c_pn_same_p2{suffix}": F.when(has, F.col("__ns") - p).otherwise(-1.0),
+            f"c_core_same{suffix}": F.col("__cn"),
+            f"c_core_same_p2{suffix}": F.col("__cs") - p,
+            f"c_pn_s_agree_p2{suffix}": F.col("__as") - agrees,
             f"c_pn_is_mode{suffix}": F.when(has, (F.col("q_pnum") == F.col("__pm")).cast("int")).otherwise(-1),
             f"c_mode_eq_s1{suffix}": F.when(F.col("__pm").isNull(), -1).otherwise((F.col("__pm") == F.col("s_pnum")).cast("int")),
             f"c_core_is_mode{suffix}": (F.col("q_core") == F.col("__cm")).cast("int"),
             f"c_cmode_eq_s1{suffix}": (F.col("__cm") == F.col("s_core")).cast("int"),
         }
-    ).drop("__pm", "__cm")
+    ).drop(*sums, *counts, "__nw", "__cw", "__pm", "__cm")
 
 
 def attribute_consensus(d: DataFrame, attributes: list[str], score: str = "p3", suffix: str = "") -> DataFrame:
     """The five agreement columns of each attribute a (q_a against s_a); empty values take part."""
     p = F.col(score)
+    every: list[str] = []
     for a in attributes:
-        q, s = F.coalesce(f"q_{a}", F.lit("")), F.coalesce(f"s_{a}", F.lit(""))
-        d = d.withColumn("__q", q).withColumn("__s", s)
-        d = d.join(weighted_mode(d, "__q", score, "__m"), "si", "left")
-        w = Window.partitionBy("si", "__q")
+        names = [f"__{x}_{a}" for x in "qsnwm"]
+        q, s, n, w, m = (F.col(c) for c in names)
+        every += names
+        d = d.withColumns({names[0]: F.coalesce(f"q_{a}", F.lit("")), names[1]: F.coalesce(f"s_{a}", F.lit(""))})
+        alike = Window.partitionBy("si", names[0])
+        d = d.withColumns({names[2]: F.count(F.lit(1)).over(alike) - 1, names[3]: F.sum(score).over(alike)})
+        d = d.withColumn(names[4], _mode(q, F.round(w, 9)))
         d = d.withColumns(
             {
-                f"k_{a}_eq_s1{suffix}": (F.col("__q") == F.col("__s")).cast("int"),
-                f"k_{a}_same{suffix}": F.count(F.lit(1)).over(w) - 1,
-                f"k_{a}_same_p{suffix}": F.sum(score).over(w) - p,
-                f"k_{a}_is_mode{suffix}": (F.col("__q") == F.col("__m")).cast("int"),
-                f"k_{a}_mode_eq_s1{suffix}": (F.col("__m") == F.col("__s")).cast("int"),
+                f"k_{a}_eq_s1{suffix}": (q == s).cast("int"),
+                f"k_{a}_same{suffix}": n,
+                f"k_{a}_same_p{suffix}": w - p,
+                f"k_{a}_is_mode{suffix}": (q == m).cast("int"),
+                f"k_{a}_mode_eq_s1{suffix}": (m == s).cast("int"),
             }
-        ).drop("__q", "__s", "__m")
-    return d
+        )
+    return d.drop(*every)
 
 
 PEER_COLUMNS = ["pr_n", "pr_nmax", "pr_nmin", "pr_nw", "pr_amax", "pr_aw", "pr_pn_any", "pr_maxp"]

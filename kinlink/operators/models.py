@@ -9,10 +9,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Settings by stage: trees, depth, learning rate, share of rows and of features of a tree.
+#: Settings by stage: trees, depth, learning rate, share of rows and of features of a tree.  Stage 2 averages two
+#: models of different regularity.
 STAGES = {
     1: {"maxIter": 20, "maxDepth": 5, "stepSize": 0.15},
-    2: {"maxIter": 30, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8},
+    2: [
+        {"maxIter": 30, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.7, "featureSubsetStrategy": "0.8"},
+        {"maxIter": 30, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.6", "minInstancesPerNode": 5},
+    ],
     3: {"maxIter": 30, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.7},
     4: {"maxIter": 30, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.7},
 }
@@ -28,7 +32,14 @@ def sampled(key: Column, share: float) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1000)) < int(share * 1000)
 
 
-def train(d: DataFrame, features: list[str], label: str, settings: dict, seed: int = 0) -> PipelineModel:
+def nominal(name: str, values: int) -> Column:
+    """The column, marked for the trees as one of so many categories (0 up) and not as a number."""
+    return F.col(name).cast("double").alias(name, metadata={"ml_attr": {"type": "nominal", "name": name, "vals": [str(i) for i in range(values)]}})
+
+
+def train(d: DataFrame, features: list[str], label: str, settings: dict, seed: int = 0, categories: dict[str, int] | None = None) -> PipelineModel:
+    """``categories``: number of categories of the features that aren't numbers."""
+    d = d.withColumns({c: nominal(c, n) for c, n in (categories or {}).items()})
     assemble = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep")
     gbt = GBTClassifier(labelCol=label, featuresCol="__x", seed=seed, predictionCol="__y", **settings).setRawPredictionCol("__r").setProbabilityCol("__p")
     return Pipeline(stages=[assemble, gbt]).fit(d.withColumn(label, F.col(label).cast("double")))
@@ -38,11 +49,11 @@ def predict(model: PipelineModel, d: DataFrame, out: str) -> DataFrame:
     return model.transform(d).withColumn(out, vector_to_array("__p")[1]).drop("__x", "__r", "__p", "__y")
 
 
-def cross_fit(d: DataFrame, features: list[str], label: str, settings: dict | list[dict], key: str = "qi", folds: int = 2, share: float = 1.0) -> list[list[PipelineModel]]:
+def cross_fit(d: DataFrame, features: list[str], label: str, settings: dict | list[dict], key: str = "qi", folds: int = 2, share: float = 1.0, categories: dict[str, int] | None = None) -> list[list[PipelineModel]]:
     """Models by fold, one for each of ``settings``; those of fold k are trained without it."""
     several = settings if isinstance(settings, list) else [settings]
     part = d.filter(sampled(F.col(key), share)) if share < 1 else d
-    return [[train(part.filter(fold_of(F.col(key), folds) != k), features, label, s, seed=k * 10 + i) for i, s in enumerate(several)] for k in range(folds)]
+    return [[train(part.filter(fold_of(F.col(key), folds) != k), features, label, s, seed=k * 10 + i, categories=categories) for i, s in enumerate(several)] for k in range(folds)]
 
 
 def out_of_fold(models: list[list[PipelineModel]], d: DataFrame, out: str, key: str = "qi") -> DataFrame:

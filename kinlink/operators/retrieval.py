@@ -1,7 +1,7 @@
 """Candidate retrieval: sparse TF-IDF cosine top-k over postings, and capped exact keys.
 
 Records are (id, country, tokens).  Everything joins on (country, token), so countries never mix
-and no loop over them is needed.  A token's document frequency is capped, which bounds the rows that
+and no loop over them is needed; records without a country meet none (``without_country`` counts them).  A token's document frequency is capped, which bounds the rows that
 any posting list can add: the cap is the guard against skew.  Partial dot products are combined on the
 map side; the rank filter becomes a grouped limit before the window.
 """
@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kinlink.plans.scratch import keep
+
 DF_SHARE, DF_FLOOR = 0.01, 2000
 TOP_NAME, TOP_ADDRESS, TOP_BOTH = 10, 10, 15
 ABSENT_RANK = 99
@@ -62,37 +64,91 @@ def both_channels(names: DataFrame, addresses: DataFrame) -> DataFrame:
     return both.withColumn("cos_c", (F.col("cos_n") + F.col("cos_a")) / 2)
 
 
+def _keys(records: DataFrame, name: str, caps: dict[str, int]) -> DataFrame:
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"key_{k}").alias("key")) for k in caps])
+    return records.select(F.col("id").alias(name), "country", F.inline(kinds)).filter("key is not null")
+
+
+def capped_keys(index: DataFrame, caps: dict[str, int] = KEY_CAPS) -> DataFrame:
+    """(si, country, kind, key) of the keys that at most ``cap`` index records of the country hold."""
+    s = _keys(index, "si", caps)
+    cap = reduce(lambda c, kv: c.when(F.col("kind") == kv[0], kv[1]), caps.items(), F.when(F.lit(False), 0))
+    held = s.groupBy("country", "kind", "key").count().filter(F.col("count") <= cap).drop("count")
+    return s.join(held, ["country", "kind", "key"])
+
+
 def key_candidates(index: DataFrame, queries: DataFrame, caps: dict[str, int] = KEY_CAPS) -> DataFrame:
     """(qi, si, kf_*): pairs that share an exact key which at most ``cap`` index records of the country hold.
 
     The cap filters the index side before the join, so no key can multiply rows beyond it.  All keys
     are one join on (kind, key), not one for each kind.
     """
-    def long(df: DataFrame, name: str) -> DataFrame:
-        kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"key_{k}").alias("key")) for k in caps])
-        return df.select(F.col("id").alias(name), "country", F.inline(kinds)).filter("key is not null")
+    return _key_matches(capped_keys(index, caps), queries, caps)
 
-    cap = reduce(lambda c, kv: c.when(F.col("kind") == kv[0], kv[1]), caps.items(), F.when(F.lit(False), 0))
-    s = long(index, "si")
-    held = s.groupBy("country", "kind", "key").count().filter(F.col("count") <= cap).drop("count")
-    pairs = long(queries, "qi").join(s.join(held, ["country", "kind", "key"]), ["country", "kind", "key"])
+
+def _key_matches(held: DataFrame, queries: DataFrame, caps: dict[str, int]) -> DataFrame:
+    pairs = _keys(queries, "qi", caps).join(held, ["country", "kind", "key"])
     return pairs.groupBy("qi", "si").agg(*[F.max((F.col("kind") == k).cast("int")).alias(f"kf_{k}") for k in caps])
 
 
-def candidates(index: DataFrame, queries: DataFrame, k_name: int = TOP_NAME, k_address: int = TOP_ADDRESS, k_both: int = TOP_BOTH, caps: dict[str, int] = KEY_CAPS, **cap) -> DataFrame:
-    """Union of the three top-k channels and the keys, with cosines, ranks (99 where absent) and flags."""
-    scored = both_channels(cosines(index, queries, "ntok", **cap), cosines(index, queries, "atok", **cap))
+#: Column of the cosine by column of the tokens.
+CHANNELS = {"ntok": "cos_n", "atok": "cos_a"}
+
+
+def _vocabularies(index: DataFrame, **cap) -> DataFrame:
+    parts = [vocabulary(index, tokens, **cap).select(F.lit(name).alias("channel"), "country", "tok", "idf") for tokens, name in CHANNELS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _postings(records: DataFrame, vocab: DataFrame) -> DataFrame:
+    parts = [postings(records, tokens, vocab.filter(F.col("channel") == name)).withColumn("channel", F.lit(name)) for tokens, name in CHANNELS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def scored_pairs(vocab: DataFrame, index_postings: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qi, si, cos_n, cos_a): exact cosines of all pairs that share a token of any channel; 0 where they share
+    none of this one.  One join and one aggregation, combined on the map side, serve all channels.
+    """
+    q = _postings(queries, vocab).select("channel", "country", "tok", F.col("id").alias("qi"), F.col("w").alias("wq"))
+    s = index_postings.select("channel", "country", "tok", F.col("id").alias("si"), F.col("w").alias("ws"))
+    products = q.join(s, ["channel", "country", "tok"]).select("qi", "si", "channel", (F.col("wq") * F.col("ws")).alias("w"))
+    return products.groupBy("qi", "si").agg(*[F.round(F.sum(F.when(F.col("channel") == c, F.col("w")).otherwise(0.0)), 9).alias(c) for c in CHANNELS.values()])
+
+
+def prepare(index: DataFrame, caps: dict[str, int] = KEY_CAPS, **cap) -> dict:
+    """What the candidates need of the index, written once: vocabulary, weighted postings, capped keys."""
+    vocab = keep(_vocabularies(index, **cap), "index-vocabulary")
+    return {"vocabulary": vocab, "postings": keep(_postings(index, vocab), "index-postings"), "keys": keep(capped_keys(index, caps), "index-keys"), "caps": caps}
+
+
+def candidates_from(prepared: dict, queries: DataFrame, k_name: int = TOP_NAME, k_address: int = TOP_ADDRESS, k_both: int = TOP_BOTH) -> DataFrame:
+    """Union of the three top-k channels and the keys, with cosines, ranks (99 where absent) and flags.
+
+    Each channel is cut to its best k before anything is joined: the cut is a group limit, which a task
+    applies to its own rows before they are exchanged by query.
+    """
+    caps = prepared["caps"]
+    scored = scored_pairs(prepared["vocabulary"], prepared["postings"], queries)
+    scored = scored.withColumn("cos_c", (F.col("cos_n") + F.col("cos_a")) / 2)
     ranks = {"rk_n": ("cos_n", k_name), "rk_a": ("cos_a", k_address), "rk_c": ("cos_c", k_both)}
-    for rank, (score, _) in ranks.items():
-        w = Window.partitionBy("qi").orderBy(F.desc(score), "si")
-        scored = scored.withColumn(rank, F.row_number().over(w) - 1)
+    found = _key_matches(prepared["keys"], queries, caps).join(scored, ["qi", "si"], "left")
     for rank, (score, k) in ranks.items():
-        scored = scored.withColumn(rank, F.when((F.col(rank) < k) & (F.col(score) > LEAST_COSINE), F.col(rank)).otherwise(ABSENT_RANK))
-    flags = [f"kf_{k}" for k in caps]
-    out = scored.join(key_candidates(index, queries, caps), ["qi", "si"], "full")
-    out = out.fillna(0.0, ["cos_n", "cos_a", "cos_c"]).fillna(ABSENT_RANK, list(ranks)).fillna(0, flags)
-    kept: Column = reduce(lambda a, b: a | b, [F.col(r) < ABSENT_RANK for r in ranks] + [F.col(f) == 1 for f in flags])
-    return out.filter(kept)
+        found = found.unionByName(top_k(scored, score, k, rank), allowMissingColumns=True)
+    return found.groupBy("qi", "si").agg(
+        *[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in ("cos_n", "cos_a", "cos_c")],
+        *[F.coalesce(F.min(r), F.lit(ABSENT_RANK)).alias(r) for r in ranks],
+        *[F.coalesce(F.max(f"kf_{k}"), F.lit(0)).alias(f"kf_{k}") for k in caps],
+    )
+
+
+def candidates(index: DataFrame, queries: DataFrame, k_name: int = TOP_NAME, k_address: int = TOP_ADDRESS, k_both: int = TOP_BOTH, caps: dict[str, int] = KEY_CAPS, **cap) -> DataFrame:
+    """``candidates_from`` of an index that is prepared on the way."""
+    return candidates_from(prepare(index, caps, **cap), queries, k_name, k_address, k_both)
+
+
+def without_country(records: DataFrame) -> int:
+    """Records that retrieval can't place, since their country is null."""
+    return records.filter("country is null").count()
 
 
 def recall_at(ranked: DataFrame, truth: DataFrame, rank: str, ks: list[int]) -> DataFrame:

@@ -1,8 +1,15 @@
-"""Checks of a result table (source1_entity_id, ids joined by commas) against the required entities."""
+"""Checks of a result table (source1_entity_id, ids joined by commas) against the required entities.
+
+``python -m kinlink.operators.validate MATCHES ENTITIES [--candidates FILE] [--known FILE ...]`` prints what is
+wrong and ends with code 1 if anything is.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import argparse
+import sys
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXAMPLES = 5
@@ -66,3 +73,66 @@ def header_problem(spark, path: str, expected: list[str]) -> str | None:
 def rows_without_tab(lines: DataFrame) -> DataFrame:
     """Lines of a text DataFrame (value) that aren't blank and have no tab."""
     return lines.filter((F.trim("value") != "") & (F.instr("value", "\t") == 0))
+
+
+COLUMNS = {"matched": "matched_entity_ids", "candidates": "candidate_entity_ids"}
+WHAT = {
+    "missing": "there is no such file",
+    "empty": "the file is empty",
+    "comma_separated": "the file is separated by commas, not by tabs",
+    "header": "the header isn't the expected one",
+}
+
+
+def check(spark: SparkSession, matches: str, entities: str, candidates: str | None = None, known: list[str] | None = None) -> tuple[list[str], list[str]]:
+    """(errors, warnings) of the result files; ``entities``, ``known``: tab-separated files with ids in the first column."""
+    from kinlink.sources.tables import read_ids, read_tsv
+
+    errors, warnings, tables = [], [], {}
+    required = read_ids(spark, entities)
+    ids = None
+    for k in known or []:
+        ids = read_ids(spark, k) if ids is None else ids.unionByName(read_ids(spark, k))
+    for kind, path in (("matched", matches), ("candidates", candidates)):
+        if path is None:
+            continue
+        problem = header_problem(spark, path, ["source1_entity_id", COLUMNS[kind]])
+        if problem == "missing" and kind == "candidates":
+            warnings.append(f"{path}: {WHAT[problem]}; candidates aren't checked")
+        elif problem:
+            errors.append(f"{path}: {WHAT[problem]}")
+        else:
+            lines = rows_without_tab(spark.read.text(path)).count()
+            if lines:
+                errors.append(f"{path}: {lines} rows without a tab")
+            tables[kind] = read_tsv(spark, path).toDF("source1_entity_id", COLUMNS[kind])
+            for r in report(findings(tables[kind], COLUMNS[kind], required, ids)).orderBy("rule").collect():  # a row a rule
+                errors.append(f"{path}: {r['rule']}: {r['total']}, such as {r['examples']}")
+    if len(tables) == 2:
+        n = outside_candidates(tables["matched"], tables["candidates"]).count()
+        if n:
+            warnings.append(f"{n} entities have matches that aren't among their candidates")
+    return errors, warnings
+
+
+def main(arguments: list[str] | None = None) -> int:
+    parser = argparse.ArgumentParser(description="Check the files of a linkage result.")
+    parser.add_argument("matches")
+    parser.add_argument("entities")
+    parser.add_argument("--candidates")
+    parser.add_argument("--known", nargs="*")
+    a = parser.parse_args(arguments)
+    try:
+        errors, warnings = check(SparkSession.builder.getOrCreate(), a.matches, a.entities, a.candidates, a.known)
+    except Exception as e:  # unreadable bytes or folders: an error of the files, not of the program
+        errors, warnings = [f"could not read a file: {e}"], []
+    for w in warnings:
+        print(f"warning: {w}")
+    for e in errors:
+        print(f"error: {e}")
+    print("failed" if errors else "passed")
+    return 1 if errors else 0
+
+
+if __name__ == "__main__":
+    sys.exit(main())

@@ -1,8 +1,9 @@
 """Cutting lineage: intermediate tables in the shared checkpoint folder.
 
 A table written once to reliable storage survives the loss of any executor and is
-never computed twice.  The folder is the session's ``spark.checkpoint.dir``; only
-where that is unset (tests, a laptop) a local temporary folder is made.
+never computed twice.  The folder is the session's ``spark.checkpoint.dir``; where that is unset a local
+master (tests, a laptop) gets a temporary folder, and a cluster an error, since its executors share
+no local folder.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ def scratch_dir(spark: SparkSession) -> str:
     if not hasattr(sc, "_kinlink_scratch"):
         base = spark.conf.get("spark.checkpoint.dir", None) or sc._conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="kinlink-")
         root = f"{base.rstrip('/')}/kinlink-{uuid.uuid4().hex}"
         path = sc._jvm.org.apache.hadoop.fs.Path(root)
@@ -41,11 +44,32 @@ class Kept:
         self.path = f"{scratch_dir(self.spark)}/{name}-{uuid.uuid4().hex[:12]}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        _kept(self.spark).append(self)
 
     def drop(self) -> None:
         sc = self.spark.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        _kept(self.spark).remove(self)
+
+
+def _kept(spark: SparkSession) -> list[Kept]:
+    """The tables of this application that weren't freed yet, oldest first."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_kinlink_kept"):
+        sc._kinlink_kept = []
+    return sc._kinlink_kept
+
+
+def mark(spark: SparkSession) -> int:
+    """A point in time for ``free``."""
+    return len(_kept(spark))
+
+
+def free(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables kept since ``mark``.  What still reads them can't be run any more."""
+    for k in _kept(spark)[since:]:
+        k.drop()
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:

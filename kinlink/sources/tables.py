@@ -47,9 +47,16 @@ def resume(spark: SparkSession, path: str, make) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(entity_id) of the first column of a tab-separated file, without its header and blank lines."""
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
-    return lines.filter((F.col("line") > 0) & (F.trim("value") != "")).select(F.trim(F.split("value", "\t")[0]).alias("entity_id")).distinct()
+    """(entity_id) of the first column of a tab-separated file, or of all files of a folder, without headers
+    and blank lines."""
+    df = read_tsv(spark, path)
+    ids = df.select(F.trim(F.col(f"`{df.columns[0]}`")).alias("entity_id"))
+    return ids.filter("entity_id <> ''").distinct()
+
+
+def write_ordered(df: DataFrame, path: str, order: str = "pos") -> None:
+    """Tab-separated files whose rows, file by file, are in the order of the column ``order``, which isn't written."""
+    write_tsv(df.repartitionByRange(order).sortWithinPartitions(order).drop(order), path)
 
 
 def with_position(df: DataFrame, name: str = "pos") -> DataFrame:
