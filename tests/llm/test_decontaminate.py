@@ -1,5 +1,8 @@
 import random
 
+import pyarrow as pa
+import pytest
+
 from kinlink.llm import decontaminate as D
 
 WORDS = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "nu", "per", "st") for b in ("an", "er", "in", "ou") for c in ("", "d", "th", "ly")]
@@ -115,3 +118,49 @@ def test_items_of_one_to_three_words_match_word_for_word(spark):
     items = [(1, "What now?"), (2, "日本語の文です"), (3, "a b c"), (4, "Now")]
     got = D.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r["doc_id"], r["item_id"], r["edit_distance"]) for r in got) == [(1, 1, 0), (1, 4, 0), (2, 4, 0), (3, 2, 0), (4, 3, 0), (5, 3, 0), (6, 4, 0)]
+
+
+def _recall(rng, lo, hi, change, n=300):
+    vocabulary = [f"v{i}" for i in range(2000)]
+    some = lambda k: [vocabulary[int(2000 * rng.random() ** 3)] for _ in range(k)]
+    items = [some(rng.randint(lo, hi)) for _ in range(n)]
+    index = D._Index(list(range(n)), [" ".join(w) for w in items], 0.8, D.RECALL)
+    docs = [" ".join(some(40) + change(rng, w, D.most_edits(len(w), 0.8)) + some(40)) for w in items]
+    h, at = D.words_of(pa.array(docs))
+    found = {(d, i) for d, i, _, _ in D._leaks(index, h, at)}
+    return sum((k, k) in found for k in range(n)) / n
+
+
+def mixed(rng, item, edits):
+    w = list(item)
+    for _ in range(edits):
+        p, how = rng.randrange(len(w)), rng.randrange(3)
+        w[p : p + (how != 0)] = [] if how == 2 else [f"new{rng.randrange(10**6)}"]
+    return w
+
+
+@pytest.mark.parametrize("lo,hi", [(1, 4), (5, 5), (6, 7), (8, 13), (14, 29), (30, 79), (80, 160)])
+def test_recall_by_length_at_the_most_edits(lo, hi):
+    rng = random.Random(lo)
+    assert _recall(rng, lo, hi, edited) >= 0.99 and _recall(rng, lo, hi, mixed) >= 0.99
+
+
+def test_more_recall_takes_more_walks_or_fewer_steps():
+    for n in range(5, 200):
+        (s1, w1), (s2, w2) = D.plan(n, 0.8, 0.9), D.plan(n, 0.8, 0.9999)
+        assert s2 < s1 or (s2 == s1 and w2 >= w1)
+
+
+def test_null_and_integer_ids(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    docs = spark.createDataFrame([(None, item), (2, item)], "doc_id int, text string")
+    items = spark.createDataFrame([(None, item), (5, "one two"), (6, "gamma delta")], "item_id int, text string")
+    got = D.find(docs, items)
+    assert dict(got.dtypes)["item_id"] == "int" and dict(got.dtypes)["doc_id"] == "int"
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(d, i) for d in (None, 2) for i in (None, 6)}
+
+
+def test_quotes_and_dashes_of_any_kind_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "so “what’s the answer” — he asked… «then» nothing")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "\"what's the answer\" - he asked... 'then'")], "item_id long, text string")
+    assert [r["edit_distance"] for r in D.find(docs, items).collect()] == [0]
