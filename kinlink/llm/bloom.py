@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinlink.plans.scratch import keep
+
 HASHES = 2
 MIN_SLOTS = 1 << 16
 #: 2**27 slots: at most 2**21 words, 32 MB of (word, bits) rows.
@@ -62,13 +64,27 @@ def flag(df: DataFrame, key: str, words: DataFrame, m: int, name: str) -> DataFr
     return df.drop(*[f"__kl_{c}{i}" for i in range(HASHES) for c in "swb"])
 
 
+#: Ids that are dropped by a broadcast of them (a few MB), and not by filters.
+BROADCAST_ROWS = 100_000
+
+
 def drop_ids(docs: DataFrame, losers: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` without the rows whose id is in ``losers`` (its column ``id_col``).
+    """``docs`` without the rows whose id is in ``losers`` (its column ``id_col``); rows with a null id stay.
 
-    Rows that the filter of the losers' ids rules out pass straight through; only the others
-    are exchanged.
+    Few losers are broadcast.  Of more, a filter rules out most other rows, which pass straight through.
+    Ids that pass it by chance are told from losers on a table of ids alone; a second filter of these finds their
+    rows, and only what passes both is exchanged.  The losers' own texts never move.
     """
-    m = slots_for(losers.count())
-    tested = flag(docs, id_col, member_words(losers, id_col, m), m, "__kl_maybe")
-    stay = tested.filter("__kl_maybe").join(losers.select(id_col).distinct(), id_col, "left_anti")
-    return tested.filter("not __kl_maybe").select(docs.columns).unionByName(stay.select(docs.columns))
+    n = losers.count()
+    only = losers.select(id_col)
+    if n <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(only), id_col, "left_anti").select(docs.columns)
+    m = slots_for(n)
+    words = keep(member_words(only, id_col, m), "drop-filter")
+    unsure = F.col("__kl_maybe") & F.col(id_col).isNotNull()
+    tested = flag(docs, id_col, words, m, "__kl_maybe")
+    chance = keep(flag(docs.select(id_col), id_col, words, m, "__kl_maybe").filter(unsure).select(id_col).join(only, id_col, "left_anti").distinct(), "drop-chance")
+    m2 = slots_for(chance.count())
+    second = flag(tested.filter(unsure), id_col, keep(member_words(chance, id_col, m2), "drop-filter"), m2, "__kl_again").filter("__kl_again")
+    stay = second.join(chance, id_col, "left_semi")
+    return tested.filter(~unsure).select(docs.columns).unionByName(stay.select(docs.columns))

@@ -44,7 +44,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setjoin.link(_table(spark, sf_dir, "documents"), words=3, num=90, den=100, miss=0.0)
+    return setjoin.link(_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,21 +7,25 @@ principle partners differ in at most k2 parts of some partition, so one of the w
 its n2 parts leaves equal features: the hash of what is left, with band, partition and
 way, is a signature that both share.  ``scheme`` picks n1, n2 and k2 by the band.
 
-With ``miss`` = 0 all signatures are made and no link is lost.  With ``miss`` > 0 only so many
-partitions are used that a pair exactly at the threshold is missed with at most that
-probability, signatures of fewer than THIN features are left out in bands where this applies, and ids
-of one signature are taken together only if sketches of their sets (one-bit minhashes) are as
-close as such a pair's are but for the same probability.
-
-Ids that share a signature form a bucket.  A star of each bucket joins it to candidate families.  A
-family of bounded size is settled in one task, exactly, by the intersection sizes of all its sets; of
-a larger one the stars are tested first, and then, block by block, what these leave outside its
-largest component against all its members.
-Hot signatures are folded to one row per task before the exchange.
+All signatures are made and no link is lost.  A way whose parts are empty is a signature too, shared by every
+set without features there.  So ``spare`` more partitions are made than the principle needs: at least spare + 1
+partitions of partners then agree in some way, and a set with empty ways in at most ``spare`` partitions
+has one among these that isn't empty, which its partner makes as well.  Such a set leaves its empty
+signatures out; the few others send them.
+
+Documents of equal sets are folded to one (the least id) before signatures are made.  Ids that share a
+signature form a bucket.  With every id go its set's size and the counts of its features in BINS equal parts of
+the hash domain: the sum of the lesser counts bounds the intersection, so most pairs that share a signature by
+chance are ruled out where they meet, for certain, and only what may link is closed to candidate
+families.  A family of bounded size is settled in one task, exactly, by the intersection sizes of all its sets;
+of a larger one the stars are tested first, and then, block by block, what these leave outside its largest
+component against all its members.  Hot signatures are folded to one row per task before the exchange; their
+ids are closed without a bound, which can only enlarge a family.
 
 Defined cases: null or empty text has an empty set and no links; with fewer words than a shingle the
 whole sequence is the one shingle; equal texts link; rows that repeat an id are one node; a row with
-a null id has no links and a null component.  Ids are integers.
+a null id has no links and a null component; an empty table gives no rows.  Texts of any length are
+taken whole.  Ids are integers; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,23 +45,24 @@ from kinlink.llm.components import components
 from kinlink.llm.words import chain, hash_words, mix, portions
 from kinlink.plans.scratch import keep, ship, shuffle_partitions
 
-#: Rows of (signature, id) gathered before they are sorted and sent.
-FLUSH = 1 << 18
+#: Rows of (signature, id) gathered before they are sorted and sent, and rows of each part that should be among them.
+FLUSH, FLUSH_MOST, FLUSH_PART = 1 << 18, 1 << 21, 1 << 12
 #: One task's rows of one signature beyond this are folded to one.
 FOLD = 64
-#: Ids in one row of a folded signature.
+#: Ids in one row of a folded signature; larger buckets are closed without looking at their pairs.
 CHUNK = 1024
-#: Bits of the sketch that goes with a signature where partitions are sampled.
-SKETCH = 64
+#: Parts of the hash domain whose features are counted for each set.
+BINS = 64
 #: Families beyond these are settled by several tasks.
 FAMILY_DOCS = 2048
 FAMILY_SHINGLES = 4_000_000
-#: Features a signature should have; fewer than THIN don't count where partitions are sampled.
-FEATURES = 4.0
-THIN = 3
+#: Features a signature should have.
+FEATURES = 3.4
 #: Members tested against a centre in one task.
 TESTED = 2048
 BROADCAST_ROWS = 200_000
+#: Groups of equal sets above rows / HOT_SHARE are at most HOT_SHARE many.
+HOT_SHARE, HOT_LEAST = 2048, 1000
 
 
 def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
@@ -91,180 +96,180 @@ def bounds(i: int, num: int, den: int) -> tuple[int, int]:
 
 
 @functools.cache
-def scheme(i: int, num: int, den: int, miss: float) -> tuple[int, int, int, int]:
-    """(n1, n2, k2, partitions used) for sets of band i and their partners of band i or i + 1."""
+def scheme(i: int, num: int, den: int) -> tuple[int, int, int, int]:
+    """(n1, n2, k2, spare) for sets of band i and their partners of band i or i + 1; n1 counts the spare partitions."""
     low, high = bounds(i, num, den)
     most = high + high * den // num
     k = max(s - 2 * -(-num * s // (num + den)) for s in range(max(2 * low, most - 2 * den), most + 1))
     if k <= 0:
-        return 1, 1, 0, 1
+        return 1, 1, 0, 0
     best = None
     for k2 in range(min(k, 4) + 1):
-        n1 = -(-(k + 1) // (k2 + 1))
+        least = -(-(k + 1) // (k2 + 1))
         for n2 in range(k2 + 1, k2 + 5):
+            spare = 0
+            while spare <= least:  # enough for the empty ways of all but odd sets
+                none = math.exp(-low / ((least + spare) * n2))
+                weak = (least + spare) * sum(math.comb(n2, j) * none**j * (1 - none) ** (n2 - j) for j in range(n2 - k2, n2 + 1))
+                if spare >= weak + 2.5 * math.sqrt(weak):
+                    break
+                spare += 1
+            if spare > least:
+                spare = 0
+            n1 = least + spare
             features = low / n1 * (n2 - k2) / n2
-            use = n1
-            if miss:
-                dirty = 1 - (1 - 1 / (n1 * n2)) ** k
-                good = sum(math.comb(n2, j) * dirty**j * (1 - dirty) ** (n2 - j) for j in range(k2 + 1))
-                good *= 1 - sum(math.exp(-features) * features**j / math.factorial(j) for j in range(THIN))
-                if 0 < good < 1:
-                    use = min(n1, math.ceil(math.log(miss) / math.log(1 - good)))
-            cost = use * math.comb(n2, k2)
+            cost = n1 * math.comb(n2, k2)
             rank = (features < FEATURES, cost if features >= FEATURES else -features)
             if best is None or rank < best[0]:
-                best = rank, (n1, n2, k2, use)
+                best = rank, (n1, n2, k2, spare)
     return best[1]
 
 
 @functools.cache
-def _layout(i: int, num: int, den: int, miss: float):
-    """Edges of the parts in the hash domain, ways to keep parts, and salts of the signatures."""
-    n1, n2, k2, use = scheme(i, num, den, miss)
-    edges = np.array([(p << 64) // (n1 * n2) for p in range(use * n2)], np.uint64)
+def _layout(i: int, num: int, den: int):
+    """Shape, spare partitions, edges of the parts in the hash domain, ways to keep parts, salts of the signatures."""
+    n1, n2, k2, spare = scheme(i, num, den)
+    edges = np.array([(p << 64) // (n1 * n2) for p in range(n1 * n2)], np.uint64)
     ways = np.array([[j not in out for j in range(n2)] for out in itertools.combinations(range(n2), k2)], np.uint64)
-    salt = mix(np.arange(use * len(ways), dtype=np.uint64) + np.uint64((i + 1) << 40))
-    return n1 * n2 == use * n2, n2, use, edges, ways, salt, use < n1
+    salt = mix(np.arange(n1 * len(ways), dtype=np.uint64) + np.uint64((i + 1) << 40))
+    return (n1, n2), spare, edges, ways, salt
 
 
-def signatures(s: np.ndarray, i: int, num: int, den: int, miss: float) -> np.ndarray:
+def signatures(s: np.ndarray, i: int, num: int, den: int) -> np.ndarray:
     """The signatures of the sorted set s for the pair of bands i and i + 1."""
-    whole, n2, use, edges, ways, salt, sampled = _layout(i, num, den, miss)
+    shape, spare, edges, ways, salt = _layout(i, num, den)
     sums = np.zeros(len(s) + 1, np.uint64)
     np.cumsum(mix(s + np.uint64(0x632BE59BD9B4E019)), out=sums[1:])
-    at = np.searchsorted(s, edges)
-    end = len(s) if whole else int(np.searchsorted(s, np.uint64((use << 64) // scheme(i, num, den, miss)[0])))
-    at = np.append(at, end)
-    parts = (sums[at[1:]] - sums[at[:-1]]).reshape(use, n2)
-    kept = (parts @ ways.T).ravel() if n2 > 1 else parts.ravel()
-    out = mix(kept ^ salt)
-    if sampled:
-        n = (np.diff(at).reshape(use, n2) @ ways.T.astype(np.int64)).ravel()
-        out = out[n >= THIN]
-    return out
-
-
-@functools.cache
-def _sketch_steps() -> np.ndarray:
-    return np.random.default_rng(64).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def sketch(s: np.ndarray) -> np.uint64:
-    """One bit of the least of the set's hashes under each of SKETCH orders: sets of similarity J differ
-    in a share of (1 - J) / 2 of the bits."""
-    least = np.full(SKETCH, ~np.uint64(0))
-    for a in range(0, len(s), 4096):
-        np.minimum(least, (s[a : a + 4096, None] * _sketch_steps()).min(0), out=least)
-    return ((mix(least) & np.uint64(1)) << np.arange(SKETCH, dtype=np.uint64)).sum(dtype=np.uint64)
+    at = np.append(np.searchsorted(s, edges), len(s))
+    out = mix(((sums[at[1:]] - sums[at[:-1]]).reshape(shape) @ ways.T).ravel() ^ salt)
+    filled = np.diff(at).reshape(shape) @ ways.T.astype(np.int64) > 0
+    return out[filled.ravel()] if (~filled).any(1).sum() <= spare else out
+
+
+def profile(s: np.ndarray) -> np.ndarray:
+    """Size and counts by part of the hash domain, all zero where they don't fit, which rules nothing out."""
+    counts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS)
+    return np.append(len(s), counts).astype(np.uint16) if len(s) < 1 << 16 else np.zeros(BINS + 1, np.uint16)
+
+
+def _alike(profiles: np.ndarray, num: int, den: int) -> list[np.ndarray]:
+    """Groups of members connected by pairs that may link; with too many members, one group of all."""
+    m = len(profiles)
+    if m > CHUNK:
+        return [np.arange(m)]
+    size, counts = profiles[:, 0].astype(np.int64), profiles[:, 1:]
+    near = np.zeros((m, m), bool)
+    for i in range(m):
+        both = np.minimum(counts[i], counts[i:]).sum(1, dtype=np.int64)
+        near[i, i:] = (den * both >= num * (size[i] + size[i:] - both)) | (size[i] == 0) | (size[i:] == 0)
+    if m == 2:
+        return [np.arange(2)] if near[0, 1] else []
+    labels = _least_reached(near | near.T, np.arange(m))
+    return [g for k in np.unique(labels) if len(g := np.flatnonzero(labels == k)) > 1]
 
 
-@functools.cache
-def _most_apart(num: int, den: int, miss: float) -> int:
-    """Bits that the sketches of a pair at the threshold differ in, but for a chance of ``miss``."""
-    p, tail, t = (den - num) / den / 2, 1.0, -1
-    while tail > miss:
-        t += 1
-        tail -= math.comb(SKETCH, t) * p**t * (1 - p) ** (SKETCH - t)
-        if t == SKETCH:
-            break
-    return t
-
-
-def _alike(sketches: np.ndarray, apart: int) -> list[np.ndarray]:
-    """Groups of members connected by sketches that differ in at most ``apart`` bits; without a
-    limit, or with too many members, one group of all."""
-    if apart >= SKETCH or len(sketches) > CHUNK or len(sketches) < 2:
-        return [np.arange(len(sketches))]
-    if len(sketches) == 2:
-        return [np.arange(2)] if np.bitwise_count(sketches[0] ^ sketches[1]) <= apart else []
-    near = np.bitwise_count(sketches[:, None] ^ sketches[None, :]) <= apart
-    labels = _least_reached(near, np.arange(len(sketches)))
-    return [g for k in np.unique(labels) if len(g := np.flatnonzero(labels == k)) > 1]
+class _Payload:
+    """Documents (id, profile) and rows (signature's low half, document) of one part as bytes."""
 
+    @staticmethod
+    def pack(low: np.ndarray, doc: np.ndarray, ids: np.ndarray, profiles: np.ndarray) -> bytes:
+        used, index = np.unique(doc, return_inverse=True)
+        kind = np.uint16 if len(used) < 1 << 16 else np.uint32
+        return b"".join([np.uint32(len(used)).tobytes(), ids[used].tobytes(), profiles[used].tobytes(), low.tobytes(), index.astype(kind).tobytes()])
 
-def _bucket_rows(sigs: np.ndarray, ids: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct (signature, id, sketch), and the starts of the runs of equal signatures."""
-    order = np.lexsort((ids, sigs))
-    sigs, ids, sketches = sigs[order], ids[order], sketches[order]
-    if len(sigs):
-        new = np.ones(len(sigs), bool)
-        new[1:] = (sigs[1:] != sigs[:-1]) | (ids[1:] != ids[:-1])
-        sigs, ids, sketches = sigs[new], ids[new], sketches[new]
-    starts = np.flatnonzero(np.concatenate(([True], sigs[1:] != sigs[:-1]))) if len(sigs) else np.empty(0, np.int64)
-    return sigs, ids, sketches, starts
+    @staticmethod
+    def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        n = int(np.frombuffer(data, np.uint32, 1)[0])
+        at = 4
+        ids = np.frombuffer(data, np.int64, n, at)
+        at += 8 * n
+        profiles = np.frombuffer(data, np.uint16, n * (BINS + 1), at).reshape(n, BINS + 1)
+        at += 2 * n * (BINS + 1)
+        kind = np.uint16 if n < 1 << 16 else np.uint32
+        rows = (len(data) - at) // (4 + kind().itemsize)
+        return np.frombuffer(data, np.uint32, rows, at), np.frombuffer(data, kind, rows, at + 4 * rows).astype(np.int64), ids, profiles
 
 
-def _buckets(docs: DataFrame, words: int, num: int, den: int, miss: float, parts: int) -> DataFrame:
-    """(ids): distinct lists of two or more ids that share a signature.
+def _buckets(docs: DataFrame, words: int, num: int, den: int, parts: int) -> DataFrame:
+    """(ids): distinct lists of two or more ids that share a signature and may link.
 
     Where a task has many ids of one signature it makes lists of them itself, each with the same first
-    id, which alone goes on to the list made after the exchange.
+    id, which alone goes on to the list made after the exchange and meets every id there.  A signature is cut
+    to its part and 32 more bits: a bucket may hold two of them, which only adds pairs to test.
     """
     schema = "part int, folded boolean, payload binary"
-
-    apart = _most_apart(num, den, miss) if miss else SKETCH
+    most = min(FLUSH_MOST, max(FLUSH, parts * FLUSH_PART))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple[np.ndarray, int, np.uint64]] = []
+        waiting: list[tuple[np.ndarray, int, np.ndarray]] = []
         rows = 0
 
         def flush() -> pa.RecordBatch:
             lengths = [len(w[0]) for w in waiting]
             sigs = np.concatenate([w[0] for w in waiting])
-            ids = np.repeat(np.array([w[1] for w in waiting], np.int64), lengths)
-            marks = np.repeat(np.array([w[2] for w in waiting], np.uint64), lengths)
+            doc = np.repeat(np.arange(len(waiting)), lengths)
+            ids = np.array([w[1] for w in waiting], np.int64)
+            ids = np.concatenate((ids, ids))  # the second half: documents that stand for a folded signature
+            profiles = np.array([w[2] for w in waiting], np.uint16)
+            profiles = np.concatenate((profiles, np.zeros_like(profiles)))
             waiting.clear()
-            sigs, ids, marks, starts = _bucket_rows(sigs, ids, marks)
-            out: list[tuple[int, bool, bytes]] = []
+            order = np.argsort(sigs, kind="stable")
+            sigs, doc = sigs[order], doc[order]
+            starts = np.flatnonzero(np.concatenate(([True], sigs[1:] != sigs[:-1])))
             length = np.diff(np.append(starts, len(sigs)))
-            stay = np.ones(len(sigs), bool)
             part = ((sigs >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            stay = np.ones(len(sigs), bool)
+            out: dict[tuple[int, bool, bytes], None] = {}
             for a, n in zip(starts[length > FOLD].tolist(), length[length > FOLD].tolist()):
-                for group in _alike(marks[a : a + n], apart):
-                    own = ids[a + group]
-                    if len(own) > FOLD:
-                        stay[a + group[1:]] = False
-                        for b in range(1, len(own), CHUNK - 1):
-                            chunk = np.concatenate((own[:1], own[b : b + CHUNK - 1]))
-                            out.append((int(part[a]), True, chunk.tobytes()))
-            sigs, ids, marks, part = sigs[stay], ids[stay], marks[stay], part[stay]
+                own = np.unique(ids[doc[a : a + n]])
+                stay[a + 1 : a + n] = False
+                doc[a] = len(ids) // 2 + doc[a + int(np.argmin(ids[doc[a : a + n]]))]
+                for b in range(1, len(own), CHUNK - 1):
+                    out[int(own[0]) % parts, True, np.concatenate((own[:1], own[b : b + CHUNK - 1])).tobytes()] = None
+            low, doc, part = sigs[stay].astype(np.uint32), doc[stay], part[stay]
             at = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
             for p in np.flatnonzero(np.diff(at)).tolist():
                 own = slice(at[p], at[p + 1])
-                out.append((p, False, sigs[own].tobytes() + ids[own].tobytes() + (marks[own].tobytes() if miss else b"")))
+                out[p, False, _Payload.pack(low[own], doc[own], ids, profiles)] = None
             return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.bool_(), pa.binary()))], ["part", "folded", "payload"])
 
         for b in portions(batches):
             for i, s in zip(b.column("id").to_pylist(), shingle_sets(b.column("text"), words)):
                 if i is not None and len(s):
                     k = band(len(s), num, den)
-                    mark = sketch(s) if miss else np.uint64(0)
-                    for j in (k, k - 1) if k else (k,):
-                        if len(g := signatures(s, j, num, den, miss)):
-                            waiting.append((g, i, mark))
-                            rows += len(g)
-                if rows >= FLUSH:
+                    g = np.concatenate([signatures(s, j, num, den) for j in ((k, k - 1) if k else (k,))])
+                    waiting.append((g, i, profile(s)))
+                    rows += len(g)
+                if rows >= most:
                     yield flush()
                     rows = 0
         if waiting:
             yield flush()
 
     def meet(table: pa.Table) -> pa.Table:
-        sigs, ids, marks, out = [], [], [], set()
+        lows, docs, ids, profiles, out, n = [], [], [], [], set(), 0
         for folded, payload in zip(table["folded"].to_pylist(), table["payload"].to_pylist()):
             if folded:
                 out.add(payload)
             else:
-                x = np.frombuffer(payload, np.uint64)
-                n = len(x) // (3 if miss else 2)
-                sigs.append(x[:n])
-                ids.append(x[n : 2 * n].astype(np.int64))
-                marks.append(x[2 * n :] if miss else np.zeros(n, np.uint64))
-        if sigs:
-            s, i, m, starts = _bucket_rows(np.concatenate(sigs), np.concatenate(ids), np.concatenate(marks))
-            length = np.diff(np.append(starts, len(s)))
-            for a, n in zip(starts[length > 1].tolist(), length[length > 1].tolist()):
-                out.update(i[a + group].tobytes() for group in _alike(m[a : a + n], apart))
+                low, doc, own, profile_of = _Payload.unpack(payload)
+                lows.append(low)
+                docs.append(doc + n)
+                ids.append(own)
+                profiles.append(profile_of)
+                n += len(own)
+        if lows:
+            low, doc, i, m = (np.concatenate(x) for x in (lows, docs, ids, profiles))
+            order = np.argsort(low, kind="stable")
+            low, doc = low[order], doc[order]
+            starts = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+            length = np.diff(np.append(starts, len(low)))
+            for b in {doc[a : a + k].tobytes() for a, k in zip(starts[length > 1].tolist(), length[length > 1].tolist())}:
+                members = np.frombuffer(b, np.int64)
+                for group in _alike(m[members], num, den):
+                    own = np.unique(i[members[group]])
+                    if len(own) > 1:
+                        out.add(own.tobytes())
         return pa.table({"ids": pa.array([np.frombuffer(o, np.int64) for o in out], pa.list_(pa.int64()))})
 
     sent = docs.mapInArrow(send, schema)
@@ -343,8 +348,12 @@ def _settle(docs: DataFrame, members: DataFrame, words: int, num: int, den: int,
 
 def _verify(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link.  Members meet their centre in groups of bounded size."""
-    sizes = pairs.groupBy("a").count().withColumn("cells", F.ceil(F.col("count") / TESTED).cast("int")).select("a", "cells")
-    dealt = pairs.join(sizes, "a").select("a", F.col("b").alias("id"), F.pmod(F.xxhash64("b"), F.col("cells").cast("long")).alias("cell"), F.lit(False).alias("centre"))
+    sizes = keep(pairs.groupBy("a").count().withColumn("cells", F.ceil(F.col("count") / TESTED).cast("int")).select("a", "cells"), "join-cells")
+    several = sizes.filter("cells > 1")  # the others need no join, so no task gets all pairs of a centre
+    if several.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        several = F.broadcast(several)
+    cells = F.coalesce("cells", F.lit(1))
+    dealt = pairs.join(several, "a", "left").select("a", F.col("b").alias("id"), F.pmod(F.xxhash64("b"), cells.cast("long")).alias("cell"), F.lit(False).alias("centre"))
     centres = sizes.select("a", F.col("a").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells").cast("long") - 1)).alias("cell"), F.lit(True).alias("centre"))
     wanted = keep(dealt.unionByName(centres), "join-tests")
     rows = _texts_of(docs, wanted)
@@ -403,7 +412,22 @@ def _settle_large(docs: DataFrame, members: DataFrame, stars: DataFrame, words:
     return components(links.unionByName(found))
 
 
-def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _equal_sets(sizes: DataFrame) -> DataFrame:
+    """(id, rep): ids whose set equals that of a lesser id, ``rep``; sizes: (id, n, h1, h2) with a 128-bit hash of the set.
+
+    Ids with several rows are left as they are.  Groups are counted by a map-side combine, and hot ones join
+    by a broadcast of at most HOT_SHARE rows.
+    """
+    key = ["n", "h1", "h2"]
+    single = sizes.filter("id is not null and n > 0").groupBy("id").agg(F.count(F.lit(1)).alias("rows"), *[F.first(c).alias(c) for c in key]).filter("rows = 1").drop("rows")
+    groups = keep(single.groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "join-equal")
+    limit = max(HOT_LEAST, (groups.agg(F.sum("size")).first()[0] or 0) // HOT_SHARE)
+    hot, cold = groups.filter(F.col("size") > limit).drop("size"), groups.filter(F.col("size") <= limit).drop("size")
+    found = single.join(F.broadcast(hot), key).unionByName(single.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key))
+    return keep(found.filter("id <> rep").select("id", "rep"), "join-copies")
+
+
+def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (least id reachable by links)."""
     spark = docs.sparkSession
     ship(spark)
@@ -411,12 +435,16 @@ def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, miss: f
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in shingle_sets(b.column("text"), words)], pa.int64())], ["id", "n"])
+            sets = shingle_sets(b.column("text"), words)
+            hashes = [[int(mix(s + np.uint64(seed)).sum().view(np.int64)) for s in sets] for seed in (0x51ED270B, 0x2545F491)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(h, pa.int64()) for h in hashes]], ["id", "n", "h1", "h2"])
 
-    sizes = keep(base.mapInArrow(count, "id long, n long"), "join-sizes")
+    sizes = keep(base.mapInArrow(count, "id long, n long, h1 long, h2 long"), "join-sizes")
+    copies = _equal_sets(sizes)
+    own = bloom.drop_ids(base, copies, "id")
     shingles = sizes.agg(F.sum("n")).first()[0] or 0
     parts = shuffle_partitions(spark, shingles // 4, 1 << 20)
-    buckets = keep(_buckets(base, words, num, den, miss, parts), "join-buckets")
+    buckets = keep(_buckets(own, words, num, den, parts), "join-buckets")
     stars = keep(buckets.select(F.element_at("ids", 1).alias("a"), F.explode(F.slice("ids", 2, F.greatest(F.size("ids"), F.lit(2)))).alias("b")).distinct(), "join-stars")
     families = keep(components(stars).select("id", F.col("component").alias("family")), "join-families")
     extent = families.join(sizes.groupBy("id").agg(F.sum("n").alias("n")), "id").groupBy("family").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
@@ -426,22 +454,21 @@ def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, miss: f
     marked = keep(families.join(extent.select("family", "large"), "family"), "join-marked")
     out = []
     if small:
-        out.append(_settle(base, marked.filter("not large").select("id", "family"), words, num, den, max(shuffle_partitions(spark), small // FAMILY_SHINGLES + 1)))
+        out.append(_settle(own, marked.filter("not large").select("id", "family"), words, num, den, max(shuffle_partitions(spark), small // FAMILY_SHINGLES + 1)))
     if any(r["large"] for r in total):
         large = keep(marked.filter("large").select("id", "family"), "join-large-members")
-        out.append(_settle_large(base, large, stars.join(large.select(F.col("id").alias("a")), "a", "left_semi"), words, num, den))
-    labels = None
+        out.append(_settle_large(own, large, stars.join(large.select(F.col("id").alias("a")), "a", "left_semi"), words, num, den))
+    labels = sizes.select("id", F.col("id").alias("component")).limit(0)
     for x in out:
-        x = x.select("id", "component").distinct()
-        labels = x if labels is None else labels.unionByName(x)
-    if labels is None:
-        labels = sizes.select("id", F.col("id").alias("component")).limit(0)
+        labels = labels.unionByName(x.select("id", "component").distinct())
     labels = keep(labels, "join-labels")
-    done = sizes.join(labels, "id", "left")
+    # a copy takes the label of its representative, which is the least id of its group but maybe not of its component
+    copied = copies.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
+    done = sizes.join(labels.unionByName(copied), "id", "left")
     return done.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(docs.schema[id_col].dataType).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document (the least id) of each group of near duplicates."""
-    losers = link(docs, words, num, den, miss, id_col, text_col).filter(f"{id_col} <> component_id").select(id_col)
+    losers = link(docs, words, num, den, id_col, text_col).filter(f"{id_col} <> component_id").select(id_col)
     return bloom.drop_ids(docs, keep(losers, "join-losers"), id_col)
