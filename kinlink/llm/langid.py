@@ -11,7 +11,8 @@ else is a gap; runs of gaps count once.
 
 Defined cases: null text, or text without a letter, gives ``und`` with score 0; with nothing to
 learn from, every prediction is ``und``; ties go to the first language by name; labels that
-are null are not learnt from; repeated rows are treated alike.  Work per task is bounded by the
+are null are not learnt from; repeated rows are treated alike; an empty table gives no rows; other
+columns are not looked at, whatever their names.  Work per task is bounded by the
 block size, whatever the length of a text: long texts are counted piece by piece.
 """
 
@@ -54,16 +55,21 @@ def _letter_vectors() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.roll(v, 2, axis=1), np.roll(v, 1, axis=1), v
 
 
-def _codes(text: str) -> np.ndarray:
-    """Trigram codes of the text, gaps at both ends included; empty if it has no letter."""
-    cp = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    x = np.concatenate(([0], _letter_table()[cp], [0])).astype(np.int32)
-    if not x.any():
-        return np.empty(0, np.int32)
-    keep = np.ones(len(x), bool)
-    keep[1:] = (x[1:] != 0) | (x[:-1] != 0)
-    x = x[keep]
-    return (x[:-2] * LETTERS + x[1:-1]) * LETTERS + x[2:]
+def _codes(text: str) -> Iterator[np.ndarray]:
+    """Trigram codes of the text piece by piece, a gap at both ends included; none if it has no letter.
+
+    A piece begins with the last two letters or gaps of the one before, so a cut adds and loses nothing.
+    """
+    before = np.zeros(1, np.int32)
+    for at in range(0, len(text), BLOCK_CHARS):
+        cp = np.frombuffer(text[at : at + BLOCK_CHARS].lower().encode("utf-32-le", "replace"), np.uint32)
+        x = np.concatenate((before, _letter_table()[cp], [0] if at + BLOCK_CHARS >= len(text) else [])).astype(np.int32)
+        keep = np.ones(len(x), bool)
+        keep[1:] = (x[1:] != 0) | (x[:-1] != 0)
+        x = x[keep]
+        if len(x) > 2:
+            yield (x[:-2] * LETTERS + x[1:-1]) * LETTERS + x[2:]
+        before = x[-2:]
 
 
 def vectors(texts: list[str | None]) -> np.ndarray:
@@ -91,14 +97,12 @@ def vectors(texts: list[str | None]) -> np.ndarray:
             pieces.clear()
 
         for i, text in enumerate(texts[a : a + BLOCK_ROWS], a):
-            for at in range(0, len(text or ""), BLOCK_CHARS):
-                codes = _codes(text[at : at + BLOCK_CHARS])
-                if len(codes):
-                    pieces.append((i, codes))
-                    chars += len(codes)
-                    if chars > BLOCK_CHARS:
-                        add()
-                        chars = 0
+            for codes in _codes(text or ""):
+                pieces.append((i, codes))
+                chars += len(codes)
+                if chars > BLOCK_CHARS:
+                    add()
+                    chars = 0
         if pieces:
             add()
     return out

@@ -63,3 +63,11 @@ def test_label_is_no_input(spark):
     other = docs.withColumn("lang", docs["source"])
     a, b = (sorted((r["doc_id"], r["lang_pred"]) for r in langid.predict(d, p).collect()) for d in (docs, other))
     assert a == b
+
+
+def test_cuts_of_long_texts_change_nothing(monkeypatch):
+    text = "  Ein l\u00e4ngerer Text, 12 mit L\u00fccken --  und   W\u00f6rtern. " * 7
+    whole = langid.vectors([text, " 1 ", "a"])
+    for n in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(langid, "BLOCK_CHARS", n)
+        assert (langid.vectors([text, " 1 ", "a"]) == whole).all()

@@ -41,6 +41,14 @@ def test_unlabelled_documents_stay(spark, tmp_path):
     assert [r["doc_id"] for r in corpus_pipeline.language_id(spark, df, str(tmp_path)).collect()] == [1]
 
 
+def test_text_in_no_language_is_rejected(spark):
+    prose = "the quick harbour master counted all the boats and gulls before dawn while seven lamps burned under the old red bridge"
+    rows = [(i, f"{prose} {i}", "en") for i in range(1, 40)] + [(90, "xqz " * 300, None), (91, "xqz qzx", None), (92, "0x1F 77 99", None), (93, prose * 3, None)]
+    df = spark.createDataFrame([(i, t, l, "s", len(t)) for i, t, l in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r["doc_id"] for r in corpus_pipeline.language_id(spark, df, "").collect()}
+    assert left == {*range(1, 40), 91, 92, 93}
+
+
 def test_empty(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     df.write.parquet(f"{tmp_path}/documents.parquet")
