@@ -66,9 +66,9 @@ def mark(spark: SparkSession) -> int:
     return len(_kept(spark))
 
 
-def free(spark: SparkSession, since: int = 0) -> None:
-    """Delete the tables kept since ``mark``.  What still reads them can't be run any more."""
-    for k in _kept(spark)[since:]:
+def free(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Delete the tables kept from one ``mark`` to another (or now).  What still reads them can't be run any more."""
+    for k in _kept(spark)[since:until]:
         k.drop()
 
 
