@@ -14,10 +14,9 @@ has one among these that isn't empty, which its partner makes as well.  Such a s
 signatures out; the few others send them.
 
 Documents of equal sets are folded to one (the least id) before signatures are made.  Ids that share a
-signature form a bucket.  With every id go its set's size and the counts of its features in BINS equal parts of
-the hash domain: the sum of the lesser counts bounds the intersection, so most pairs that share a signature by
-chance are ruled out where they meet, for certain, and only what may link is closed to candidate
-families.  A family of bounded size is settled in one task, exactly, by the intersection sizes of all its sets;
+signature form a bucket.  To the ids of the distinct buckets come their sets' sizes and the counts of their features in
+BINS equal parts of the hash domain: the sum of the lesser counts bounds the intersection, so most pairs that share a
+signature by chance are ruled out for certain, and only what may link is closed to candidate families.  A family of bounded size is settled in one task, exactly, by the intersection sizes of all its sets;
 of a larger one the stars are tested first, and then, block by block, what these leave outside its largest
 component against all its members.  Hot signatures are folded to one row per task before the exchange; their
 ids are closed without a bound, which can only enlarge a family.
@@ -45,8 +44,8 @@ from kinlink.llm.components import components
 from kinlink.llm.words import chain, hash_words, mix, portions
 from kinlink.plans.scratch import keep, ship, shuffle_partitions
 
-#: Rows of (signature, id) gathered before they are sorted and sent, and rows of each part that should be among them.
-FLUSH, FLUSH_MOST, FLUSH_PART = 1 << 18, 1 << 21, 1 << 12
+#: Rows of (signature, id) gathered before they are sorted and sent, and rows that meet in a task.
+FLUSH, MEET = 1 << 18, 1 << 20
 #: One task's rows of one signature beyond this are folded to one.
 FOLD = 64
 #: Ids in one row of a folded signature; larger buckets are closed without looking at their pairs.
@@ -169,111 +168,125 @@ def _alike(profiles: np.ndarray, num: int, den: int) -> list[np.ndarray]:
 
 
 class _Payload:
-    """Documents (id, profile) and rows (signature's low half, document) of one part as bytes."""
+    """Rows (signature's low half, id) of one part as bytes; the last ``folded`` of them stand for folded signatures."""
 
     @staticmethod
-    def pack(low: np.ndarray, doc: np.ndarray, ids: np.ndarray, profiles: np.ndarray) -> bytes:
-        used, index = np.unique(doc, return_inverse=True)
-        kind = np.uint16 if len(used) < 1 << 16 else np.uint32
-        return b"".join([np.uint32(len(used)).tobytes(), ids[used].tobytes(), profiles[used].tobytes(), low.tobytes(), index.astype(kind).tobytes()])
+    def pack(low: np.ndarray, ids: np.ndarray, folded: np.ndarray) -> bytes:
+        order = np.argsort(folded, kind="stable")
+        low, ids = low[order].astype(np.uint32), ids[order]
+        base = int(ids.min())
+        narrow = int(ids.max()) - base < 1 << 32
+        ids = (ids - base).astype(np.uint32) if narrow else ids
+        return np.array([len(low), folded.sum(), narrow, base], np.int64).tobytes() + low.tobytes() + ids.tobytes()
 
     @staticmethod
-    def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        n = int(np.frombuffer(data, np.uint32, 1)[0])
-        at = 4
-        ids = np.frombuffer(data, np.int64, n, at)
-        at += 8 * n
-        profiles = np.frombuffer(data, np.uint16, n * (BINS + 1), at).reshape(n, BINS + 1)
-        at += 2 * n * (BINS + 1)
-        kind = np.uint16 if n < 1 << 16 else np.uint32
-        rows = (len(data) - at) // (4 + kind().itemsize)
-        return np.frombuffer(data, np.uint32, rows, at), np.frombuffer(data, kind, rows, at + 4 * rows).astype(np.int64), ids, profiles
+    def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, folded, narrow, base = np.frombuffer(data, np.int64, 4).tolist()
+        low = np.frombuffer(data, np.uint32, n, 32)
+        ids = np.frombuffer(data, np.uint32 if narrow else np.int64, n, 32 + 4 * n).astype(np.int64)
+        return low, ids + base if narrow else ids, np.arange(n) >= n - folded
 
 
 def _buckets(docs: DataFrame, words: int, num: int, den: int, parts: int) -> DataFrame:
-    """(ids): distinct lists of two or more ids that share a signature and may link.
+    """(ids, closed): distinct sorted lists of two or more ids that share a signature.
 
-    Where a task has many ids of one signature it makes lists of them itself, each with the same first
-    id, which alone goes on to the list made after the exchange and meets every id there.  A signature is cut
-    to its part and 32 more bits: a bucket may hold two of them, which only adds pairs to test.
+    Where a task has many ids of one signature it makes lists of them itself, each with the same first id, which
+    alone goes on to the list made after the exchange.  Such lists, and those of more than CHUNK ids, are ``closed``:
+    their ids have to stay together.  A signature is cut to its part and 32 more bits: a bucket may
+    hold two of them, which only adds pairs to test.
     """
-    schema = "part int, folded boolean, payload binary"
-    most = min(FLUSH_MOST, max(FLUSH, parts * FLUSH_PART))
+    schema = "part int, lists boolean, payload binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple[np.ndarray, int, np.ndarray]] = []
+        waiting: list[tuple[np.ndarray, int]] = []
         rows = 0
 
         def flush() -> pa.RecordBatch:
-            lengths = [len(w[0]) for w in waiting]
+            ids = np.repeat(np.array([w[1] for w in waiting], np.int64), [len(w[0]) for w in waiting])
             sigs = np.concatenate([w[0] for w in waiting])
-            doc = np.repeat(np.arange(len(waiting)), lengths)
-            ids = np.array([w[1] for w in waiting], np.int64)
-            ids = np.concatenate((ids, ids))  # the second half: documents that stand for a folded signature
-            profiles = np.array([w[2] for w in waiting], np.uint16)
-            profiles = np.concatenate((profiles, np.zeros_like(profiles)))
             waiting.clear()
             order = np.argsort(sigs, kind="stable")
-            sigs, doc = sigs[order], doc[order]
+            sigs, ids = sigs[order], ids[order]
             starts = np.flatnonzero(np.concatenate(([True], sigs[1:] != sigs[:-1])))
             length = np.diff(np.append(starts, len(sigs)))
-            part = ((sigs >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            stay = np.ones(len(sigs), bool)
+            stay, folded = np.ones(len(sigs), bool), np.zeros(len(sigs), bool)
             out: dict[tuple[int, bool, bytes], None] = {}
             for a, n in zip(starts[length > FOLD].tolist(), length[length > FOLD].tolist()):
-                own = np.unique(ids[doc[a : a + n]])
+                own = np.unique(ids[a : a + n])
                 stay[a + 1 : a + n] = False
-                doc[a] = len(ids) // 2 + doc[a + int(np.argmin(ids[doc[a : a + n]]))]
+                ids[a], folded[a] = own[0], True
                 for b in range(1, len(own), CHUNK - 1):
                     out[int(own[0]) % parts, True, np.concatenate((own[:1], own[b : b + CHUNK - 1])).tobytes()] = None
-            low, doc, part = sigs[stay].astype(np.uint32), doc[stay], part[stay]
-            at = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+            sigs, ids, folded = sigs[stay], ids[stay], folded[stay]
+            at = np.searchsorted(((sigs >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
             for p in np.flatnonzero(np.diff(at)).tolist():
                 own = slice(at[p], at[p + 1])
-                out[p, False, _Payload.pack(low[own], doc[own], ids, profiles)] = None
-            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.bool_(), pa.binary()))], ["part", "folded", "payload"])
+                out[p, False, _Payload.pack(sigs[own], ids[own], folded[own])] = None
+            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.bool_(), pa.binary()))], ["part", "lists", "payload"])
 
         for b in portions(batches):
             for i, s in zip(b.column("id").to_pylist(), shingle_sets(b.column("text"), words)):
                 if i is not None and len(s):
                     k = band(len(s), num, den)
-                    g = np.concatenate([signatures(s, j, num, den) for j in ((k, k - 1) if k else (k,))])
-                    waiting.append((g, i, profile(s)))
-                    rows += len(g)
-                if rows >= most:
+                    for j in (k, k - 1) if k else (k,):
+                        waiting.append((signatures(s, j, num, den), i))
+                        rows += len(waiting[-1][0])
+                if rows >= FLUSH:
                     yield flush()
                     rows = 0
-        if waiting:
+        if rows:
             yield flush()
 
     def meet(table: pa.Table) -> pa.Table:
-        lows, docs, ids, profiles, out, n = [], [], [], [], set(), 0
-        for folded, payload in zip(table["folded"].to_pylist(), table["payload"].to_pylist()):
-            if folded:
-                out.add(payload)
+        rows, out = [], {}
+        for lists, payload in zip(table["lists"].to_pylist(), table["payload"].to_pylist()):
+            if lists:
+                out[payload] = True
             else:
-                low, doc, own, profile_of = _Payload.unpack(payload)
-                lows.append(low)
-                docs.append(doc + n)
-                ids.append(own)
-                profiles.append(profile_of)
-                n += len(own)
-        if lows:
-            low, doc, i, m = (np.concatenate(x) for x in (lows, docs, ids, profiles))
-            order = np.argsort(low, kind="stable")
-            low, doc = low[order], doc[order]
+                rows.append(_Payload.unpack(payload))
+        if rows:
+            low, ids, folded = (np.concatenate(x) for x in zip(*rows))
+            order = np.lexsort((ids, low))
+            low, ids, folded = low[order], ids[order], folded[order]
             starts = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
             length = np.diff(np.append(starts, len(low)))
-            for b in {doc[a : a + k].tobytes() for a, k in zip(starts[length > 1].tolist(), length[length > 1].tolist())}:
-                members = np.frombuffer(b, np.int64)
-                for group in _alike(m[members], num, den):
-                    own = np.unique(i[members[group]])
-                    if len(own) > 1:
-                        out.add(own.tobytes())
-        return pa.table({"ids": pa.array([np.frombuffer(o, np.int64) for o in out], pa.list_(pa.int64()))})
+            closed = np.logical_or.reduceat(folded, starts) | (length > CHUNK)
+            for a, n, c in zip(*(x[length > 1].tolist() for x in (starts, length, closed))):
+                own = ids[a : a + n]
+                if (own[1:] == own[:-1]).any():
+                    own = np.unique(own)
+                if len(own) > 1:
+                    key = own.tobytes()
+                    out[key] = c or out.get(key, False)
+        return pa.table({"ids": pa.array([np.frombuffer(o, np.int64) for o in out], pa.list_(pa.int64())), "closed": pa.array(list(out.values()), pa.bool_())})
 
     sent = docs.mapInArrow(send, schema)
-    return sent.groupBy("part").applyInArrow(meet, "ids array<long>").dropDuplicates(["ids"])
+    return sent.groupBy("part").applyInArrow(meet, "ids array<long>, closed boolean").groupBy("ids").agg(F.max("closed").alias("closed"))
+
+
+def _possible(buckets: DataFrame, profiles: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): stars of the ids in each bucket that pairs which may link connect; profiles: (id, profile or null)."""
+    named = buckets.filter("not closed").select(F.xxhash64("ids").alias("bucket"), F.explode("ids").alias("id"))
+    members = named.join(profiles, "id")
+    bins = shuffle_partitions(buckets.sparkSession, named.count(), 1 << 16)
+    none = np.zeros(BINS + 1, np.uint16).tobytes()
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, ids = table["bucket"].to_numpy(), table["id"].to_numpy()
+        profile_of = np.frombuffer(b"".join(x or none for x in table["profile"].to_pylist()), np.uint16).reshape(-1, BINS + 1)
+        order = np.lexsort((ids, bucket))
+        bucket, ids, profile_of = bucket[order], ids[order], profile_of[order]
+        starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        pairs = set()
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)]):
+            for group in _alike(profile_of[a:b], num, den):
+                own = ids[a:b][group].tolist()
+                pairs.update((own[0], x) for x in own[1:])
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+    found = members.withColumn("bin", F.pmod("bucket", F.lit(bins))).groupBy("bin").applyInArrow(run, "a long, b long")
+    closed = buckets.filter("closed").select(F.element_at("ids", 1).alias("a"), F.explode(F.slice("ids", 2, F.greatest(F.size("ids"), F.lit(2)))).alias("b"))
+    return found.unionByName(closed).filter("a <> b").distinct()
 
 
 def _linked(sets: list[np.ndarray], num: int, den: int, first: int | None = None) -> np.ndarray:
@@ -412,14 +425,15 @@ def _settle_large(docs: DataFrame, members: DataFrame, stars: DataFrame, words:
     return components(links.unionByName(found))
 
 
-def _equal_sets(sizes: DataFrame) -> DataFrame:
-    """(id, rep): ids whose set equals that of a lesser id, ``rep``; sizes: (id, n, h1, h2) with a 128-bit hash of the set.
+def _equal_sets(each: DataFrame) -> DataFrame:
+    """(id, rep): ids whose set equals that of a lesser id, ``rep``; each: (id, rows, n, h1, h2) with a 128-bit hash of
+    the set.
 
     Ids with several rows are left as they are.  Groups are counted by a map-side combine, and hot ones join
     by a broadcast of at most HOT_SHARE rows.
     """
     key = ["n", "h1", "h2"]
-    single = sizes.filter("id is not null and n > 0").groupBy("id").agg(F.count(F.lit(1)).alias("rows"), *[F.first(c).alias(c) for c in key]).filter("rows = 1").drop("rows")
+    single = each.filter("rows = 1").select("id", *key)
     groups = keep(single.groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "join-equal")
     limit = max(HOT_LEAST, (groups.agg(F.sum("size")).first()[0] or 0) // HOT_SHARE)
     hot, cold = groups.filter(F.col("size") > limit).drop("size"), groups.filter(F.col("size") <= limit).drop("size")
@@ -437,17 +451,20 @@ def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
         for b in portions(batches):
             sets = shingle_sets(b.column("text"), words)
             hashes = [[int(mix(s + np.uint64(seed)).sum().view(np.int64)) for s in sets] for seed in (0x51ED270B, 0x2545F491)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(h, pa.int64()) for h in hashes]], ["id", "n", "h1", "h2"])
-
-    sizes = keep(base.mapInArrow(count, "id long, n long, h1 long, h2 long"), "join-sizes")
-    copies = _equal_sets(sizes)
+            columns = [pa.array([len(s) for s in sets], pa.int64()), *[pa.array(h, pa.int64()) for h in hashes], pa.array([profile(s).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *columns], ["id", "n", "h1", "h2", "profile"])
+
+    sizes = keep(base.mapInArrow(count, "id long, n long, h1 long, h2 long, profile binary"), "join-sizes")
+    kinds = [F.first(c).alias(c) for c in ("h1", "h2")]
+    one_row = F.when(F.count(F.lit(1)) == 1, F.first("profile")).alias("profile")  # of several rows, no bound holds for all
+    each = keep(sizes.filter("id is not null and n > 0").groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"), *kinds, one_row), "join-each")
+    copies = _equal_sets(each)
     own = bloom.drop_ids(base, copies, "id")
     shingles = sizes.agg(F.sum("n")).first()[0] or 0
-    parts = shuffle_partitions(spark, shingles // 4, 1 << 20)
-    buckets = keep(_buckets(own, words, num, den, parts), "join-buckets")
-    stars = keep(buckets.select(F.element_at("ids", 1).alias("a"), F.explode(F.slice("ids", 2, F.greatest(F.size("ids"), F.lit(2)))).alias("b")).distinct(), "join-stars")
+    buckets = keep(_buckets(own, words, num, den, shuffle_partitions(spark, shingles, MEET)), "join-buckets")
+    stars = keep(_possible(buckets, each.select("id", "profile"), num, den), "join-stars")
     families = keep(components(stars).select("id", F.col("component").alias("family")), "join-families")
-    extent = families.join(sizes.groupBy("id").agg(F.sum("n").alias("n")), "id").groupBy("family").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
+    extent = families.join(each.select("id", "n"), "id").groupBy("family").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
     extent = keep(extent.withColumn("large", (F.col("docs") > FAMILY_DOCS) | (F.col("shingles") > FAMILY_SHINGLES)), "join-extent")
     total = extent.groupBy("large").agg(F.sum("shingles").alias("n")).collect()
     small = sum(r["n"] for r in total if not r["large"])

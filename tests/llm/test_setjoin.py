@@ -106,10 +106,11 @@ def test_bound_on_the_intersection_rules_out_no_partners():
 
 def test_payload_round_trip():
     rng = np.random.default_rng(7)
-    ids, profiles = rng.integers(-(1 << 60), 1 << 60, 9), rng.integers(0, 99, (9, J.BINS + 1)).astype(np.uint16)
-    low, doc = rng.integers(0, 1 << 32, 40).astype(np.uint32), rng.integers(2, 7, 40)
-    got = J._Payload.unpack(J._Payload.pack(low, doc, ids, profiles))
-    assert (got[0] == low).all() and (got[2][got[1]] == ids[doc]).all() and (got[3][got[1]] == profiles[doc]).all()
+    for span in (1 << 60, 1 << 20):
+        ids, low, folded = rng.integers(-span, span, 40), rng.integers(0, 1 << 32, 40).astype(np.uint64), rng.random(40) < 0.3
+        data = J._Payload.pack(low, ids, folded)
+        assert sorted(zip(*(x.tolist() for x in J._Payload.unpack(data)))) == sorted(zip(low.tolist(), ids.tolist(), folded.tolist()))
+        assert len(data) == 32 + 40 * (8 if span < 1 << 31 else 12)
 
 
 def test_hot_signatures_are_folded_without_losing_links(spark, monkeypatch):
