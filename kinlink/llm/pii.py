@@ -1,8 +1,8 @@
 """Pseudonyms that keep their format, by a keyed Feistel permutation; native expressions only.
 
 Found and validated: payment card numbers (13 to 19 digits, Luhn), phone numbers with a country code
-(any groups) or a three-digit area code, US social security numbers, IPv4 addresses, IBANs (check digits; letters stay letters), dates (ISO, and
-day/month/year with ``/`` or ``.``) and e-mail addresses.  Each value is mapped to an index of
+(any groups) or a three-digit area code, US social security numbers, IPv4 and IPv6 addresses, IBANs (check digits; letters stay letters), dates (ISO,
+day/month/year with ``/`` or ``.``, and month/day/year where the day is above 12) and e-mail addresses.  Each value is mapped to an index of
 its domain ``A x B`` and permuted by rounds ``a += F(b) mod A``, ``b += F(a) mod B`` with
 F from SHA-256 of key, kind, round and half.  This is one-to-one and depends on nothing but
 the value and the key, so equal values get equal pseudonyms in every document, on any
@@ -11,7 +11,8 @@ E-mail names are replaced by a keyed hash, their domains by ``example.com``-like
 
 Text that fails its validation (a 16-digit number with a wrong check digit, 31 February, an
 octet of 300) is left as it is.  Defined cases: null text stays null with 0 found; empty text
-stays empty; repeated rows are treated alike.
+stays empty; repeated rows are treated alike; texts of any length are rewritten whole; an empty table gives no rows;
+if the table has a column ``n_pii``, that stays and the count is ``n_pii_found``; other columns stay.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ ROUNDS = 8
 # What is searched for. The order decides where two could start at one place.
 EMAIL = r"(?<![\p{L}0-9._%+\-])[\p{L}0-9._%+\-]++@[\p{L}0-9\-]+(?:\.[\p{L}0-9\-]+)*\.[\p{L}]{2,}"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
+IPV6 = r"(?<![\p{L}0-9:.])(?=[0-9A-Fa-f:]*[0-9])(?=(?:[0-9A-Fa-f]*:){2})(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\p{L}0-9:]|\.[0-9])"
 DATE_ISO = r"(?<![0-9\-])(?:18|19|20|21)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9\-])"
 DATE_DMY = r"(?<![0-9/.])[0-9]{2}(?:/[0-9]{2}/|\.[0-9]{2}\.)(?:18|19|20|21)[0-9]{2}(?![0-9]|[/.][0-9])"
 SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
@@ -43,11 +45,14 @@ _ACCOUNTS = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4
 #: Of other countries, or other lengths: digits in groups.
 IBAN = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_ACCOUNTS}|[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9]{{4}}){{3,7}}(?: ?[0-9]{{1,3}})?)(?![A-Za-z0-9])"
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])"
-PATTERN = "|".join((EMAIL, IBAN, IPV4, DATE_ISO, DATE_DMY, SSN, PHONE, CARD))
+PATTERN = "|".join((EMAIL, IBAN, IPV4, IPV6, DATE_ISO, DATE_DMY, SSN, PHONE, CARD))
 
 #: 400 years of the Gregorian calendar from 1800-01-01: 146,097 days = 189 * 773.
 DATE_A, DATE_B = 189, 773
 
+#: Month and day of the dates that can only be month first, without 29 February.
+MONTH_FIRST = [f"{m:02}{d:02}" for m, n in enumerate((31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31), 1) for d in range(13, n + 1)]
+
 
 def _quote(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -136,6 +141,28 @@ def _ip(key: str) -> str:
     return _let("x", "transform(split(m, '[.]'), y -> cast(y as bigint))", f"if(array_max(x) <= 255, {new}, m)")
 
 
+def _ipv6(key: str) -> str:
+    """The 128 bits as eight groups, however they were written: each half of the address is permuted."""
+    groups = lambda x: f"filter(split({x}, ':'), c -> c <> '')"
+    zeros = "array_repeat('0', greatest(0, 8 - size(g) - size(t)))"
+    full = f"if(instr(m, '::') > 0, concat(g, {zeros}, t), g)"
+    number = lambda i: f"cast(conv(concat(lpad(x[{i}], 4, '0'), lpad(x[{i + 1}], 4, '0')), 16, 10) as bigint)"
+    text = lambda v: f"concat_ws(':', lpad(lower(hex({v} div 65536)), 4, '0'), lpad(lower(hex({v} % 65536)), 4, '0'))"
+    halves = [_let("h", _feistel(key, f"ipv6-{i}", number(i), number(i + 2), "4294967296", "4294967296"), f"concat_ws(':', {text('h.a')}, {text('h.b')})") for i in (0, 4)]
+    new = _let("x", full, f"if(size(x) = 8, concat_ws(':', {halves[0]}, {halves[1]}), m)")
+    return _let("g", groups("substring_index(m, '::', 1)"), _let("t", groups("if(instr(m, '::') > 0, substring_index(m, '::', -1), '')"), new))
+
+
+def _month_first(key: str) -> str:
+    """400 years from 1800 on, by the month and day of MONTH_FIRST."""
+    days = f"array({', '.join(_quote(x) for x in MONTH_FIRST)})"
+    n = len(MONTH_FIRST)
+    at = f"array_position({days}, concat(substring(m, 1, 2), substring(m, 4, 2)))"
+    out = f"element_at({days}, cast(h.b + 1 as int))"
+    new = _let("h", _feistel(key, "date-us", "cast(substring(m, 7, 4) as bigint) - 1800", "w - 1", "400", str(n)), _let("v", out, "concat(substring(v, 1, 2), substring(m, 3, 1), substring(v, 3, 2), substring(m, 6, 1), cast(h.a + 1800 as string))"))
+    return _let("w", at, f"if(w = 0, m, {new})")
+
+
 def _date(key: str, day: str, out: str) -> str:
     """day: SQL of the date, null if invalid; out: SQL of the text from date v."""
     new = _let(
@@ -184,6 +211,7 @@ def _value(key: str) -> str:
     return (
         f"case when instr(m, '@') > 0 then {_email(key)} when {at(IBAN)} then {_iban(key)} when {at(IPV4)} then {_ip(key)} "
         f"when {at(DATE_ISO)} then {_date(key, _try_date(1, 6, 9), 'cast(v as string)')} "
+        f"when {at(IPV6)} then {_ipv6(key)} when {at(DATE_DMY)} and {_try_date(7, 4, 1)} is null then {_month_first(key)} "
         f"when {at(DATE_DMY)} then {_date(key, _try_date(7, 4, 1), '''concat(substring(cast(v as string), 9, 2), substring(m, 3, 1), substring(cast(v as string), 6, 2), substring(m, 6, 1), substring(cast(v as string), 1, 4))''')} "
         f"when {at(SSN)} then {_ssn(key)} when {at(PHONE)} then {_phone(key)} else {_card(key)} end"
     )
@@ -194,7 +222,7 @@ def _try_date(y: int, mo: int, d: int) -> str:
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with its text rewritten, plus ``n_pii`` (values replaced).
+    """``docs`` with its text rewritten, plus ``n_pii`` (values replaced; see above for a table that has one).
 
     The text is cut once at all matches; the pieces between are copied, the matches mapped.
     Texts without a digit or ``@`` skip both regular expressions.
@@ -202,6 +230,6 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     t = f"`{text_col}`"
     found = docs.withColumn("__kl_m", F.expr(f"if({t} rlike '[0-9@]', regexp_extract_all({t}, {_quote(PATTERN)}, 0), cast(array() as array<string>))"))
     mapped = found.withColumn("__kl_v", F.expr(f"transform(__kl_m, m -> {_value(key)})"))
-    mapped = mapped.withColumn("n_pii", F.expr("if(__kl_m is null, 0, aggregate(zip_with(__kl_m, __kl_v, (a, b) -> if(a = b, 0, 1)), 0, (x, y) -> x + y))"))
+    mapped = mapped.withColumn("n_pii_found" if "n_pii" in docs.columns else "n_pii", F.expr("if(__kl_m is null, 0, aggregate(zip_with(__kl_m, __kl_v, (a, b) -> if(a = b, 0, 1)), 0, (x, y) -> x + y))"))
     joined = f"if(size(__kl_m) = 0 or __kl_m is null, {t}, concat_ws('', flatten(zip_with(split({t}, {_quote(PATTERN)}, -1), __kl_v, (p, v) -> array(p, coalesce(v, ''))))))"
     return mapped.withColumn(text_col, F.expr(joined)).drop("__kl_m", "__kl_v")

@@ -6,8 +6,13 @@ each by a beta prior whose strength comes from the spread of the children's rate
 of moments); the prior of a member leaves its own pages out.  A page is blocked where the lower posterior bound of its host's bad rate is above
 a threshold; hosts without labels take the posterior of the nearest level that has some.
 
-Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule and
-takes the overall posterior; labels with a null id or without a page are ignored; repeated
+The registered domain is one label more than the public suffix, and that is the last label, or the last two where
+these are a country's code with a generic label before it (co.uk, com.au) or a service that gives names to its
+users (github.io).  An address of digits is its own domain.  Ports and user names don't count for the levels.
+
+Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule, belongs to no host and
+takes the overall posterior; an empty table gives no rows; urls of any length are taken whole; other columns are not
+looked at, whatever their names; labels with a null id or without a page are ignored; repeated
 pages are judged alike; with no labels at all everything that no rule blocks is allowed.
 """
 
@@ -18,9 +23,14 @@ from pyspark.sql import functions as F
 
 from kinlink.plans.scratch import keep
 
-LEVELS = ("suffix", "domain", "host")
+LEVELS = ("suffix", "domain", "site")
 #: A reputation table of more rows than this is joined by an exchange instead of a broadcast.
 BROADCAST_ROWS = 200_000
+#: A salted join deals a host's pages to so many tasks.
+SALTS = 16
+# Labels that make a suffix of two labels with a country's code, and suffixes of services.
+GENERIC = ["ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "govt", "gv", "ltd", "me", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "sch"]
+SERVICES = ["blogspot.com", "github.io", "gitlab.io", "herokuapp.com", "netlify.app", "pages.dev", "vercel.app", "web.app", "wordpress.com"]
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -43,9 +53,19 @@ def rule_columns(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 
 def _levels(df: DataFrame) -> DataFrame:
-    """Registered domain: the last two labels; suffix: the last."""
-    parts = F.split("host", r"\.")
-    return df.withColumn("suffix", F.element_at(parts, -1)).withColumn("domain", F.array_join(F.slice(F.concat(F.array(F.lit("")), parts), -2, 2), "."))
+    """Add site (the host without port and user), domain and suffix; null where the host is empty."""
+    site = F.rtrim(F.regexp_replace(F.regexp_replace("host", "^.*@", ""), ":[0-9]*$", ""), F.lit("."))
+    df = df.withColumn("site", F.when(site != "", site)).withColumn("__parts", F.split("site", r"\."))
+    last = lambda n: F.array_join(F.slice(F.concat(F.array(*[F.lit("")] * n), "__parts"), -n, n), ".")
+    two = (F.element_at("__parts", -1).rlike("^[a-z]{2}$") & F.get("__parts", F.size("__parts") - 2).isin(GENERIC)) | last(2).isin(SERVICES)
+    number = F.col("site").rlike(r"^[0-9.]+$|[\[\]]")
+    df = df.withColumn("__two", F.coalesce(two & (F.size("__parts") > 2), F.lit(False)))
+    return df.withColumns(
+        {
+            "suffix": F.when(number, F.col("site")).when(F.col("__two"), last(2)).otherwise(F.element_at("__parts", -1)),
+            "domain": F.when(number | (F.size("__parts") < 2), F.col("site")).when(F.col("__two"), last(3)).otherwise(last(2)),
+        }
+    ).drop("__parts", "__two")
 
 
 def _strength(counts: DataFrame, p: float, least: float = 1.0, most: float = 1000.0) -> float:
@@ -62,7 +82,7 @@ def _strength(counts: DataFrame, p: float, least: float = 1.0, most: float = 100
 def reputation(labelled: DataFrame, z: float, most: float = 1000.0) -> tuple[list[DataFrame], float]:
     """Per level a table (key, posterior bound), and the bound of a page with no level known.
 
-    ``labelled``: (host, domain, suffix, bad 0/1).  Counting is combined on the map side, so a
+    ``labelled``: (site, domain, suffix, bad 0/1).  Counting is combined on the map side, so a
     host with a third of all labels is one counter per task.
     """
     hosts = keep(labelled.groupBy(*LEVELS).agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad")), "host-counts")
@@ -99,12 +119,17 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     urls = _levels(urls).withColumn("rule", rule).withColumn("by_rule", verdict)
     marked = outcomes.filter("id is not null and bad is not null").groupBy("id").agg(F.max("bad").alias("bad"))
-    labelled = urls.join(marked, "id").select(*LEVELS, "bad")
+    labelled = urls.filter("site is not null").join(marked, "id").select(*LEVELS, "bad")
     tables, default = reputation(labelled, z)
     for k, t in zip(LEVELS, tables):
-        small = t.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        urls = urls.join(F.broadcast(t) if small else t, F.col(k) == F.col(f"__kl_{k}"), "left")
-    bound = F.coalesce("__kl_bound_host", "__kl_bound_domain", "__kl_bound_suffix", F.lit(default))
+        t = keep(t, "reputation")
+        if t.count() <= BROADCAST_ROWS:
+            urls = urls.join(F.broadcast(t), F.col(k) == F.col(f"__kl_{k}"), "left")
+        else:  # the pages of one host are dealt to SALTS tasks
+            t = t.withColumn("__kl_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+            urls = urls.withColumn("__kl_cell", salt).join(t, (F.col(k) == F.col(f"__kl_{k}")) & (F.col("__kl_cell") == F.col("__kl_salt")), "left").drop("__kl_salt", "__kl_cell")
+    bound = F.coalesce("__kl_bound_site", "__kl_bound_domain", "__kl_bound_suffix", F.lit(default))
     return urls.select(
         F.col("id").alias(id_col),
         "host",

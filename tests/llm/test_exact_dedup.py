@@ -67,3 +67,19 @@ def test_drop_ids(spark):
 def test_main_path_is_native(spark):
     plan = exact_dedup.decide(frame(spark, ROWS))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_ranges_of_hashes_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(bloom, "MIN_SLOTS", 64)
+    monkeypatch.setattr(bloom, "BROADCAST_ROWS", 3)
+    rows = [(i, f"text {i % 37 if i % 3 else i}") for i in range(150)] + [(7, None), (8, ""), (9, "again"), (9, "again"), (None, "again"), (None, "none"), (None, "none")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, keep_id string")
+    whole = sorted(map(str, exact_dedup.decide(df).collect()))
+    assert whole == sorted(map(str, exact_dedup.decide(df, slots_per_row=4, max_slots=256).collect()))
+    one = sorted(map(str, exact_dedup.keep_one(df).collect()))
+    assert one == sorted(map(str, exact_dedup.keep_one(df, slots_per_row=4, max_slots=256).collect()))
+    best = {}
+    for i, t in rows:
+        t = t or ""
+        best[t] = max(best.get(t, -1), -1 if i is None else i)
+    assert len(one) == len(best)

@@ -122,3 +122,40 @@ def test_numbers_beside_international_phones(spark):
     assert a.endswith(" 2024") and n[0] == 1 and "612 345 678" not in a
     assert n[1] == 2 and a[:15] == b[:15] and luhn(re.sub(r"\D", "", b[16:]))
     assert c == "+1.23456789 and +12 34 or +5" and n[2] == 0
+
+
+def test_ipv6_addresses(spark):
+    texts = ["at 2001:db8::8a2e:370:7334 now", "2001:0DB8:0:0:0:8A2E:0370:7334", "fe80::1, ::1", "std::dec and a::b and 12:30:45", "1:2:3:4:5:6:7:8:9"]
+    got = list(run(spark, texts)[0])
+    found = [re.findall(r"(?:[0-9a-f]{4}:){7}[0-9a-f]{4}", t) for t in got]
+    assert len(found[0]) == 1 and found[0] == found[1] and found[0][0] != "2001:0db8:0000:0000:0000:8a2e:0370:7334"
+    assert got[0].startswith("at ") and got[0].endswith(" now") and "fe80::1" not in got[2]
+    assert got[3:] == texts[3:]
+
+
+def test_month_first_dates(spark):
+    texts = ["12/31/1990", "on 12/31/1990.", "02/30/1990", "13/13/1990", "03/04/1990"]
+    got = list(run(spark, texts)[0])
+    new = datetime.datetime.strptime(got[0], "%m/%d/%Y")
+    assert new.day > 12 and got[0] != texts[0] and got[1] == f"on {got[0]}."
+    assert got[2] == texts[2] and got[3] == texts[3]
+    datetime.datetime.strptime(got[4], "%d/%m/%Y")
+    assert len(pii.MONTH_FIRST) == 365 - 144
+
+
+def test_column_of_the_count_is_kept(spark):
+    df = spark.createDataFrame([(1, "call +1 (807) 555-5623", 77), (2, None, 78)], "doc_id long, text string, n_pii int")
+    got = pii.pseudonymise(df, KEY).orderBy("doc_id").collect()
+    assert [(r["n_pii"], r["n_pii_found"]) for r in got] == [(77, 1), (78, 0)]
+
+
+def test_key_comes_from_the_session(spark):
+    from kinlink.llm import registry
+
+    drawn = registry.pii_key(spark)
+    assert len(drawn) == 64 and registry.pii_key(spark) == drawn
+    spark.conf.set(registry.PII_KEY, "secret")
+    try:
+        assert registry.pii_key(spark) == "secret"
+    finally:
+        spark.conf.unset(registry.PII_KEY)

@@ -62,3 +62,29 @@ def test_all_outcomes_alike(spark, bad):
     df = spark.createDataFrame([(i, f"http://h{i % 3}.net/") for i in range(30)], "page_id long, url string")
     got = url_filter.judge(df, spark.createDataFrame([(i, bad) for i in range(30)], "id long, bad int"), []).collect()
     assert {r["verdict"] for r in got} == {"block" if bad else "allow"}
+
+
+def test_sites_below_a_public_suffix_of_two_labels_are_apart(spark):
+    pages = [(i, f"http://bad.co.uk/{i}") for i in range(40)] + [(100 + i, f"http://user{i}.github.io/") for i in range(3)]
+    pages += [(200, "http://site1.co.uk/"), (201, "http://www.bad.co.uk:8080/"), (202, "http://shop.com.au/"), (203, "http://10.0.0.1/x"), (204, "http://10.0.0.2/x"), (205, "http://co.uk/")]
+    good = [(300 + i, f"http://fine{i}.co.uk/") for i in range(40)]
+    df = spark.createDataFrame(pages + good, "page_id long, url string")
+    outcomes = [(i, 1) for i in range(40)] + [(p, 0) for p, _ in good] + [(203, 1)]
+    got = {r["page_id"]: r for r in url_filter.judge(df, spark.createDataFrame(outcomes, "id long, bad int"), []).collect()}
+    assert got[0]["verdict"] == "block" and got[201]["verdict"] == "block"
+    assert all(got[k]["verdict"] == "allow" for k in (200, 202, 204, 205, 100, 300))
+
+
+def test_pages_without_a_host_have_no_reputation(spark):
+    pages = [(i, None) for i in range(40)] + [(100 + i, f"http://h{i % 9}.net/") for i in range(90)]
+    outcomes = spark.createDataFrame([(i, 1) for i in range(40)] + [(100 + i, 0) for i in range(90)], "id long, bad int")
+    got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), outcomes, []).collect()}
+    assert got[0]["verdict"] == "allow" and got[0]["bad_bound"] <= 0
+
+
+def test_large_reputation_tables_are_joined_in_salted_parts(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://h{i % 7}.net/{i}") for i in range(300)], "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, int(i % 7 < 3)) for i in range(0, 300, 2)], "id long, bad int")
+    want = sorted(map(tuple, url_filter.judge(pages, outcomes, []).collect()), key=str)
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, url_filter.judge(pages, outcomes, []).collect()), key=str) == want
