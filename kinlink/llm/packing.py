@@ -10,7 +10,7 @@ their place by their rank among those of their length.
 
 Defined cases: null or empty text is the end id alone (one piece of length 1); a text of exactly
 the sequence's length is one piece; repeated rows are packed each for itself; empty tables give an
-empty result.
+empty result; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,12 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kinlink.llm.words import portions
 from kinlink.plans.scratch import keep, ship
 
 SIZE = 4096
 END_ID = 1
-#: Distinct strings whose ids a worker remembers, of each kind and turn.
-CACHE = 250_000
+#: Bytes of strings and ids that a worker remembers, of each kind and turn (four such tables at most), what an entry
+#: takes beside them, and the longest string that is remembered.
+CACHE = 32 << 20
+ENTRY = 180
+LONG = 256
 #: Pieces ranked together, on average.
 BLOCK_PIECES = 50_000
 
@@ -44,17 +48,20 @@ _PLAIN_CHARS = [c for c in map(chr, range(0x10000)) if _PLAIN.fullmatch(c)]
 
 class _Known(dict):
     """Ids of a string as little-endian bytes, made by ``make``.  The strings used since the last
-    turn and those of the turn before are remembered, CACHE each."""
+    turn and those of the turn before are remembered, CACHE bytes each; very long ones aren't."""
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.older, self.bytes = make, {}, 0
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= CACHE:
-            self.older = dict(self)
+        if len(key) > LONG:
+            return self.make(key)
+        if self.bytes >= CACHE:
+            self.older, self.bytes = dict(self), 0
             self.clear()
         ids = self[key] = self.older.get(key) or self.make(key)
+        self.bytes += len(key) * (1 if key.isascii() else 2) + len(ids) + ENTRY
         return ids
 
 
@@ -115,7 +122,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             out: list[tuple] = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
                 ids = memoryview(token_bytes(text.as_py() or "", tokenizer) + end)

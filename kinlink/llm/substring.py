@@ -8,7 +8,9 @@ split all suffixes into independent groups, dealt to memory-sized partitions by
 Suffixes of one anchor lie side by side in the text, so they travel together as one strip of words.
 
 First the anchors are tallied; a bounded bitmap of those seen twice or more leaves the rest out of
-the exchange.  In a partition the suffix trees of all groups grow together from the top:
+the exchange.  Anchors seen more than HEAVY times have too many suffixes for a group: their prefix is extended
+to the whole window, so the suffixes are dealt by the hash of their first ``window`` words, one by one, and only
+equal ones meet.  In a partition the suffix trees of all groups grow together from the top:
 a node's leaves are parted by their next words, and branches with one leaf are cut.  Leaves
 below an internal node as deep as the window are repeated windows; the words they cover go.
 
@@ -17,7 +19,9 @@ in a third of all documents is one strip per task.
 
 Defined cases: null or empty text has no words; with fewer words than the window nothing is removed;
 a row that repeats another (same id and text) counts as another place, so both lose all their windows;
-the input alone decides, not what is left.  The sha256 of no words is that of empty text.
+the input alone decides, not what is left.  The sha256 of no words is that of empty text.  Texts of any length are
+taken whole; rows with a null id are told apart by their text; an empty table gives no rows; other columns are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,6 +44,9 @@ GRAM = 8
 STEP = 5
 #: Bits of the bitmap of repeated anchors: 2**28 bits are 32 MB on each worker.
 MAX_BITS = 28
+#: Strips of one anchor that may meet in a group, and bits of the bitmap of anchors with more.
+HEAVY = 4096
+HEAVY_BITS = 24
 #: Words of strips, or anchors, gathered by a task before it sends them.
 FLUSH_WORDS = 2_000_000
 FLUSH_STRIPS = 20_000
@@ -95,11 +102,11 @@ def _part_of(anchors: np.ndarray, parts: int) -> np.ndarray:
     return (((anchors >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
-def _repeated_anchors(docs: DataFrame, window: int, bits: int, slices: int) -> np.ndarray:
-    """A bitmap of 2**bits bits: the anchors that occur more than once, by their top bits.
+def _repeated_anchors(docs: DataFrame, window: int, bits: int, slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of the anchors that occur more than once (2**bits bits) and more than HEAVY times, by their top bits.
 
-    Each of ``slices`` (a power of two) partitions owns its slice of the bitmap; the driver gets
-    2**bits / 8 bytes in all, whatever the input.
+    Each of ``slices`` (a power of two) partitions owns its slice of the bitmaps; the driver gets
+    2**bits / 4 bytes in all at most, whatever the input.
     """
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] = []
@@ -111,7 +118,8 @@ def _repeated_anchors(docs: DataFrame, window: int, bits: int, slices: int) -> n
             out = []
             for many, y in ((False, x[n == 1]), (True, x[n > 1])):
                 at = np.searchsorted(_part_of(y, slices), np.arange(slices + 1))
-                out += [(p, many, y[at[p] : at[p + 1]].tobytes()) for p in np.flatnonzero(np.diff(at)).tolist()]
+                times = n[n > 1] if many else np.empty(0, np.int64)
+                out += [(p, many, y[at[p] : at[p + 1]].tobytes() + times[at[p] : at[p + 1]].tobytes()) for p in np.flatnonzero(np.diff(at)).tolist()]
             return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.bool_(), pa.binary()))], ["part", "many", "payload"])
 
         for b in portions(batches):
@@ -125,24 +133,37 @@ def _repeated_anchors(docs: DataFrame, window: int, bits: int, slices: int) -> n
         if waiting:
             yield flush()
 
-    each = (1 << bits) // slices
+    heavy_bits = min(bits, HEAVY_BITS)
 
     def meet(table: pa.Table) -> pa.Table:
-        once, many = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+        anchors, times = [], []
         for m, payload in zip(table["many"].to_pylist(), table["payload"].to_pylist()):
-            (many if m else once).append(np.frombuffer(payload, np.uint64))
-        x, n = np.unique(np.concatenate([*once, *many, *many]), return_counts=True)
-        x = x[n > 1]
+            x = np.frombuffer(payload, np.uint64)
+            k = len(x) // 2 if m else len(x)
+            anchors.append(x[:k])
+            times.append(x[k:].astype(np.int64) if m else np.ones(k, np.int64))
+        x, inverse = np.unique(np.concatenate(anchors), return_inverse=True)
+        n = np.bincount(inverse, np.concatenate(times), len(x))
         part = int(table["part"][0].as_py())
-        marks = np.zeros(each, bool)
-        marks[(x >> np.uint64(64 - bits)).astype(np.int64) - part * each] = True
-        return pa.table({"part": pa.array([part], pa.int32()), "bitmap": pa.array([np.packbits(marks).tobytes()], pa.binary())})
-
-    found = docs.select("text").mapInArrow(send, "part int, many boolean, payload binary").groupBy("part").applyInArrow(meet, "part int, bitmap binary")
-    out = np.zeros((1 << bits) // 8, np.uint8)
+        out = []
+        for least, top in ((1, bits), (HEAVY, heavy_bits)):
+            size = (1 << top) // slices
+            marks = np.zeros(size, bool)
+            marks[(x[n > least] >> np.uint64(64 - top)).astype(np.int64) - part * size] = True
+            out.append(pa.array([np.packbits(marks).tobytes()], pa.binary()))
+        return pa.table([pa.array([part], pa.int32()), *out], ["part", "repeated", "heavy"])
+
+    found = docs.select("text").mapInArrow(send, "part int, many boolean, payload binary").groupBy("part").applyInArrow(meet, "part int, repeated binary, heavy binary")
+    out = [np.zeros((1 << top) // 8, np.uint8) for top in (bits, heavy_bits)]
     for r in found.toLocalIterator():
-        out[r["part"] * each // 8 : (r["part"] + 1) * each // 8] = np.frombuffer(r["bitmap"], np.uint8)
-    return out
+        for bitmap, marks in zip(out, (r["repeated"], r["heavy"])):
+            bitmap[r["part"] * len(marks) : (r["part"] + 1) * len(marks)] = np.frombuffer(marks, np.uint8)
+    return out[0], out[1]
+
+
+def _marked(bitmap: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    slot = anchors >> np.uint64(64 - (len(bitmap) * 8).bit_length() + 1)
+    return (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (7 - (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
 def _pack(head: np.ndarray, words: np.ndarray) -> bytes:
@@ -195,16 +216,38 @@ def _deep_leaves(head: np.ndarray, words: np.ndarray, anchor: np.ndarray, window
         depth += step
 
 
-def _ranges(docs: DataFrame, bitmap: np.ndarray, bits: int, window: int, parts: int) -> DataFrame:
+def _joined(rows: np.ndarray) -> np.ndarray:
+    """Rows (id, text hash, first window, last window) of single windows, neighbours put together."""
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1) | (rows[1:, 2] > rows[:-1, 3] + 1)
+    starts = np.flatnonzero(new)
+    out = rows[starts]
+    out[:, 3] = rows[np.append(starts[1:], len(rows)) - 1, 3]
+    return out
+
+
+STRIPS, READY, WINDOWS = range(3)
+
+
+def _ranges(docs: DataFrame, bitmap: np.ndarray, heavy: np.ndarray, window: int, parts: int) -> DataFrame:
     """(id, th, first, last): runs of repeated windows."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
-    schema = "part int, ready boolean, payload binary"
+    shared = docs.sparkSession.sparkContext.broadcast((bitmap.tobytes(), heavy.tobytes()))
+    schema = "part int, kind int, payload binary"
+
+    def batch(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["part", "kind", "payload"])
+
+    def known(rows: np.ndarray) -> list[tuple[int, int, bytes]]:
+        """Repeated runs, dealt in blocks to any partition."""
+        return [(int(rows[a, 1] % parts), READY, np.ascontiguousarray(rows[a : a + 4096]).tobytes()) for a in range(0, len(rows), 4096)]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.frombuffer(shared.value, np.uint8)
+        marks, many = (np.frombuffer(x, np.uint8) for x in shared.value)
         heads: list[np.ndarray] = []
         strips: list[np.ndarray] = []
         anchors: list[np.ndarray] = []
+        singles: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
             head, words, part = np.concatenate(heads), np.concatenate(strips), _part_of(np.concatenate(anchors), parts)
@@ -212,26 +255,39 @@ def _ranges(docs: DataFrame, bitmap: np.ndarray, bits: int, window: int, parts:
             lengths = head[:, 3] - head[:, 2] + window
             begin = np.cumsum(lengths) - lengths
             _, once, which, n = np.unique(_contents(words, lengths, head[:, 4] - head[:, 2]), return_index=True, return_inverse=True, return_counts=True)
-            ready = head[n[which] > 1, :4]
-            out = [(int(k) % parts, True, np.ascontiguousarray(ready[a : a + 4096]).tobytes()) for k, a in zip(part[n[which] > 1][::4096] * 31, range(0, len(ready), 4096))]
+            out = known(head[n[which] > 1, :4])
             once = once[np.argsort(part[once], kind="stable")]
             at = np.searchsorted(part[once], np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(at)).tolist():
                 own = once[at[p] : at[p + 1]]
-                out.append((p, False, _pack(head[own], words[_spread(begin[own], lengths[own])])))
-            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.bool_(), pa.binary()))], ["part", "ready", "payload"])
+                out.append((p, STRIPS, _pack(head[own], words[_spread(begin[own], lengths[own])])))
+            return batch(out)
+
+        def flush_singles() -> pa.RecordBatch:
+            """Windows of heavy anchors (id, text hash, place, hash): of equal ones, one goes on."""
+            rows = np.concatenate(singles)
+            singles.clear()
+            _, once, which, n = np.unique(rows[:, 3], return_index=True, return_inverse=True, return_counts=True)
+            again = rows[n[which] > 1]
+            out = known(_joined(np.column_stack((again[:, :3], again[:, 2])))) if len(again) else []
+            part = _part_of(rows[once, 3].view(np.uint64), parts)
+            once = once[np.argsort(part, kind="stable")]
+            at = np.searchsorted(np.sort(part), np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(at)).tolist():
+                out.append((p, WINDOWS, np.ascontiguousarray(rows[once[at[p] : at[p + 1]]]).tobytes()))
+            return batch(out)
 
-        size = 0
+        size = alone = 0
         for b in portions(batches):
             h, at = hash_words(b.column("text"))
             ids = b.column("id").to_numpy(zero_copy_only=False)
             ths = b.column("th").to_numpy(zero_copy_only=False)
             for doc, first, last, place in _runs(h, at, window):
                 anchor = _anchor_hash(h, place)
-                slot = anchor >> np.uint64(64 - bits)
-                hit = np.flatnonzero(marks[(slot >> np.uint64(3)).astype(np.int64)] >> (7 - (slot & np.uint64(7)).astype(np.uint8)) & 1)
+                hit = np.flatnonzero(_marked(marks, anchor))
+                single = _marked(many, anchor[hit])
                 for k in range(0, len(hit), FLUSH_STRIPS):
-                    own = hit[k : k + FLUSH_STRIPS]
+                    own = hit[k : k + FLUSH_STRIPS][~single[k : k + FLUSH_STRIPS]]
                     d, f, e = doc[own], first[own], last[own]
                     heads.append(np.stack((ids[d], ths[d], f - at[d], e - at[d], place[own] - at[d]), 1).astype(np.int64))
                     strips.append(h[_spread(f, e - f + window)] & ~np.uint64(0xFFFF))
@@ -240,18 +296,40 @@ def _ranges(docs: DataFrame, bitmap: np.ndarray, bits: int, window: int, parts:
                     if size >= FLUSH_WORDS:
                         yield flush()
                         size = 0
-        if heads:
+                    own = hit[k : k + FLUSH_STRIPS][single[k : k + FLUSH_STRIPS]]
+                    if len(own):
+                        d, f, n = doc[own], first[own], last[own] - first[own] + 1
+                        words = h[_spread(f, n + window - 1)]
+                        begin = np.cumsum(n + window - 1) - (n + window - 1)
+                        hashes = chain(words, window)[_spread(begin, n)]
+                        d, where = np.repeat(d, n), _spread(f, n)
+                        singles.append(np.stack((ids[d], ths[d], where - at[d], hashes.view(np.int64)), 1).astype(np.int64))
+                        alone += len(where)
+                        if alone >= FLUSH_WORDS // 4:
+                            yield flush_singles()
+                            alone = 0
+        if size:
             yield flush()
+        if alone:
+            yield flush_singles()
 
     def meet(table: pa.Table) -> pa.Table:
-        heads, words, out = [], [], []
-        for ready, payload in zip(table["ready"].to_pylist(), table["payload"].to_pylist()):
-            if ready:
+        heads, words, singles, out = [], [], [], []
+        for kind, payload in zip(table["kind"].to_pylist(), table["payload"].to_pylist()):
+            if kind == READY:
                 out.append(np.frombuffer(payload, np.int64).reshape(-1, 4))
+            elif kind == WINDOWS:
+                singles.append(np.frombuffer(payload, np.int64).reshape(-1, 4))
             else:
                 head, w = _unpack(payload, window)
                 heads.append(head)
                 words.append(w)
+        if singles:
+            rows = np.concatenate(singles)
+            _, which, n = np.unique(rows[:, 3], return_inverse=True, return_counts=True)
+            rows = rows[n[which] > 1]
+            if len(rows):
+                out.append(_joined(np.column_stack((rows[:, :3], rows[:, 2]))))
         if heads:
             head, words = np.concatenate(heads), np.concatenate(words)
             begin = np.concatenate(([0], np.cumsum(head[:, 3] - head[:, 2] + window)))[:-1]
@@ -292,12 +370,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = max(16, min(MAX_BITS, int(chars).bit_length()))  # about a bit a character, 80 an anchor
     slices = 1
-    while slices < shuffle_partitions(spark, chars // 80, FLUSH_ANCHORS) and slices < 1 << (bits - 3):
+    while slices < shuffle_partitions(spark, chars // 80, FLUSH_ANCHORS) and slices < 1 << (min(bits, HEAVY_BITS) - 3):
         slices *= 2
-    bitmap = _repeated_anchors(rows, window, bits, slices)
+    bitmap, heavy = _repeated_anchors(rows, window, bits, slices)
     parts = shuffle_partitions(spark, chars // 6, FLUSH_WORDS)
-    ranges = keep(_ranges(rows.select("id", "th", "text"), bitmap, bits, window, parts), "repeat-ranges")
-    spans = keep(ranges.groupBy("id", "th").agg(F.collect_list(F.array("first", "last")).alias("ranges")), "repeat-spans")
+    ranges = keep(_ranges(rows.select("id", "th", "text"), bitmap, heavy, window, parts), "repeat-ranges")
+    spans = keep(ranges.groupBy("id", "th").agg(F.collect_set(F.array("first", "last")).alias("ranges")), "repeat-spans")
     m = bloom.slots_for(spans.count())
     members = keep(bloom.member_words(spans, "th", m), "repeat-members")
     tested = bloom.flag(rows, "th", members, m, "__kl_maybe")
@@ -308,7 +386,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     names = ["orig", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             out = []
             for text, r in zip(b.column("text"), b.column("ranges")):
                 n, left = _cut(text.as_py(), r.as_py() or [], window)

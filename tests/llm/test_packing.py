@@ -46,12 +46,14 @@ def test_token_bytes_match_the_library():
 
 
 def test_cache_turns(monkeypatch):
-    monkeypatch.setattr(packing, "CACHE", 3)
+    monkeypatch.setattr(packing, "CACHE", 3 * (packing.ENTRY + 2))  # three strings of one letter
     made = []
     k = packing._Known(lambda x: made.append(x) or x.encode())
     for x in "abcabcdabcdeab":
         assert k[x] == x.encode()
     assert len(k) <= 3 and len(k.older) <= 3 and len(made) < 14
+    long = "x" * (packing.LONG + 1)
+    assert k[long] == long.encode() and long not in k and long not in k.older
 
 
 def test_packing(spark):

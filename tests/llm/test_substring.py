@@ -95,3 +95,20 @@ def test_words_match_split():
     assert len(set(known.values())) == len(known)
     batch = pa.RecordBatch.from_arrays([column], ["text"])
     assert sum((p.column("text").to_pylist() for p in portions([batch], most=64)), []) == texts
+
+
+@pytest.mark.parametrize("flush", [300, 2_000_000])
+def test_heavy_anchors_are_dealt_by_whole_windows(spark, monkeypatch, flush):
+    monkeypatch.setattr(substring, "HEAVY", 2)
+    monkeypatch.setattr(substring, "FLUSH_WORDS", flush)
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(30)]  # shorter than the window: repeats only with equal words beside it
+    rows = [(i, " ".join([f"w{rng.randrange(9)}" for _ in range(rng.randrange(40))] + common + [f"v{rng.randrange(3)}" for _ in range(20)])) for i in range(80)]
+    rows += [(200 + i, " ".join(common * 2)) for i in range(9)] + corpus(6, 20)
+    assert run(spark, rows, 35) == brute(rows, 35)
+
+
+def test_rows_with_a_null_id_and_equal_text(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(None, text)] * 5 + [(None, "short"), (3, text + " end")]
+    assert run(spark, rows, 35) == brute(rows, 35)
