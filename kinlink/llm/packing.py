@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -32,9 +33,9 @@ from kinlink.plans.scratch import keep, ship
 
 SIZE = 4096
 END_ID = 1
-#: Bytes of strings and ids that a worker remembers, of each kind and turn (four such tables at most), what an entry
-#: takes beside them, and the longest string that is remembered.
-CACHE = 32 << 20
+#: Bytes of runs and ids that a worker remembers in a turn (two such tables at most), what an entry takes beside
+#: them, and the longest run that is remembered.
+CACHE = 64 << 20
 ENTRY = 180
 LONG = 256
 #: Pieces ranked together, on average.
@@ -97,12 +98,16 @@ def _loaded(path: str):
     moved = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
     letters = [chr(moved.get(b, b)) for b in range(256)]
 
-    def word_bytes(word: str) -> bytes:
-        mapped = word if word.isascii() else "".join([letters[b] for b in word.encode()])
-        return np.array([t.id for t in tokenizer.model.tokenize(mapped)], "<u4").tobytes()
+    words, tokens = re.compile(split).findall, tokenizer.model.tokenize
 
-    words, known = re.compile(split).findall, _Known(word_bytes)
-    return encode, _Known(lambda run: b"".join(map(known.__getitem__, words(run)))), special
+    def run_bytes(run: str) -> bytes:
+        ids: list[int] = []
+        for word in words(run):
+            mapped = word if word.isascii() else "".join([letters[b] for b in word.encode()])
+            ids += [t.id for t in tokens(mapped)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    return encode, _Known(run_bytes), special
 
 
 def token_bytes(text: str, path: str) -> bytes:
