@@ -15,6 +15,11 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Most bytes of an Arrow batch that goes to Python, unless the session sets a bound of its own: both sides hold
+#: a few of them a task.
+ARROW_BYTES = 4 << 20
+_ARROW_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -78,8 +83,10 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once, for functions that run in Python there."""
+    """Send this package to the executors once, for functions that run in Python there, and bound their batches."""
     sc = spark.sparkContext
+    if _ARROW_SETTING not in spark.conf.getAll:
+        spark.conf.set(_ARROW_SETTING, str(ARROW_BYTES))
     if hasattr(sc, "_kinlink_shipped"):
         return
     target = os.path.join(tempfile.mkdtemp(prefix="kinlink-code-"), "kinlink.zip")
