@@ -35,7 +35,7 @@ SIZE = 4096
 END_ID = 1
 #: Bytes of runs and ids that a worker remembers in a turn (two such tables at most), what an entry takes beside
 #: them, and the longest run that is remembered.
-CACHE = 64 << 20
+CACHE = 32 << 20
 ENTRY = 180
 LONG = 256
 #: Pieces ranked together, on average.
@@ -59,6 +59,7 @@ class _Known(dict):
         if len(key) > LONG:
             return self.make(key)
         if self.bytes >= CACHE:
+            self.older.clear()  # before the copy, so that there are never three
             self.older, self.bytes = dict(self), 0
             self.clear()
         ids = self[key] = self.older.get(key) or self.make(key)
