@@ -36,6 +36,8 @@ UND = "und"
 #: Texts vectorised together, and code points looked at together.
 BLOCK_ROWS = 256
 BLOCK_CHARS = 1 << 20
+#: Kinds of trigrams whose vectors are made together.
+BLOCK_KINDS = 2048
 
 
 @functools.cache
@@ -90,10 +92,10 @@ def vectors(texts: list[str | None]) -> np.ndarray:
             kinds = np.flatnonzero(seen)
             place[kinds] = np.arange(len(kinds), dtype=np.int32)
             counts = np.bincount((rows - lo) * len(kinds) + place[codes], minlength=(hi - lo) * len(kinds)).reshape(hi - lo, len(kinds))
-            for k in range(0, len(kinds), 8192):
-                part = kinds[k : k + 8192]
+            for k in range(0, len(kinds), BLOCK_KINDS):
+                part = kinds[k : k + BLOCK_KINDS]
                 bound = (first[part // LETTERS**2] * second[part // LETTERS % LETTERS] * third[part % LETTERS]).astype(np.float32)
-                out[lo:hi] += counts[:, k : k + 8192].astype(np.float32) @ bound
+                out[lo:hi] += counts[:, k : k + BLOCK_KINDS].astype(np.float32) @ bound
             pieces.clear()
 
         for i, text in enumerate(texts[a : a + BLOCK_ROWS], a):
