@@ -194,14 +194,13 @@ def tfidf_weights(spark, sf_dir):
 @query(S.TOP_NAME)
 def cosine_topk_name(spark, sf_dir):
     index, q = short_records(spark, sf_dir)
-    return rounded(retrieval.top_k(retrieval.cosines(index, q, "ntok"), "cos", 10, "rk"), 12)
+    return rounded(retrieval.best(index, q, "rk_n", 10).select("qi", "si", F.col("cos_n").alias("cos"), "rk"), 12)
 
 
 @query(S.TOP_BOTH)
 def cosine_topk_combined(spark, sf_dir):
     index, q = short_records(spark, sf_dir)
-    both = retrieval.both_channels(retrieval.cosines(index, q, "ntok"), retrieval.cosines(index, q, "atok"))
-    return rounded(retrieval.top_k(both, "cos_c", 15, "rk"), 12)
+    return rounded(retrieval.best(index, q, "rk_c", 15), 12)
 
 
 @query(S.KEY_CANDIDATES)
