@@ -74,22 +74,35 @@ def candidate_features(index: DataFrame, queries: DataFrame, **cap) -> DataFrame
 def pair_features(c: DataFrame, index: DataFrame, queries: DataFrame) -> DataFrame:
     """String, set, digit, word and ambiguity features of the pairs in ``c`` (qi, si, ...).
 
-    What depends on one record only (idf of its words, how ambiguous it is) is added before pairing.
+    What depends on one record only (idf of its words, how ambiguous it is) is added before pairing.  Pairs whose
+    records are equal in all that the features read are computed once.
     """
     n = index.count()
     idf = {col: keep(features.word_idf(index, col), "word-idf") for col in ("skel", "ad")}
 
     def side(records: DataFrame, p: str) -> DataFrame:
-        r = features.with_ambiguity(records.select("id", "country", *SIDE), index)
+        r = features.with_ambiguity(records, index)
         for col in idf:
             r = features.with_word_idf(r, idf[col], n, col)
         own = [F.coalesce(x, F.lit("")).alias(f"{p}_{x}") for x in SIDE]
-        return r.select(F.col("id").alias(f"{p}i"), *own, *[F.col(x).alias(f"{p}_{x}") for x in ("core_cnt", "skel_cnt", "skel_idf", "ad_idf")])
+        return r.select(F.col("id").alias(f"__{p}"), *own, *[F.col(x).alias(f"{p}_{x}") for x in ("core_cnt", "skel_cnt", "skel_idf", "ad_idf")])
 
-    d = c.join(side(queries, "q"), "qi").join(side(index, "s"), "si")
+    (q, q_kinds), (s, s_kinds) = _kinds(queries), _kinds(index)
+    named = keep(c.join(q.select(F.col("id").alias("qi"), F.col("kind").alias("__q")), "qi").join(s.select(F.col("id").alias("si"), F.col("kind").alias("__s")), "si"), "link-named")
+    d = named.select("__q", "__s").distinct().join(side(q_kinds, "q"), "__q").join(side(s_kinds, "s"), "__s")
     d = features.number_membership(features.digit_geometry(features.set_overlaps(features.string_scores(d))))
     d = features.word_differences(features.word_differences(d, "skel", "dn"), "ad", "da").drop("q_skel_idf", "s_skel_idf", "q_ad_idf", "s_ad_idf")
-    return d.withColumns({"lg_q": features.legal_code(F.col("q_legal")), "lg_s": features.legal_code(F.col("s_legal"))})
+    d = d.withColumns({"lg_q": features.legal_code(F.col("q_legal")), "lg_s": features.legal_code(F.col("s_legal"))})
+    return named.join(keep(d, "link-kinds"), ["__q", "__s"]).drop("__q", "__s")
+
+
+def _kinds(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((id, kind), one record (id, country, strings) per kind): records that are equal in all that a pair's features read are
+    one kind, called after its least id."""
+    content = ["country", *SIDE]
+    r = records.select("id", *content).withColumn("__content", F.sha2(F.to_json(F.struct(*content)), 256))
+    kinds = keep(r.groupBy("__content").agg(F.min("id").alias("id"), *[F.first(x).alias(x) for x in content]), "link-contents")
+    return r.select("id", "__content").join(kinds.select("__content", F.col("id").alias("kind")), "__content").select("id", "kind"), kinds.drop("__content")
 
 
 LEGAL_CATEGORIES = dict.fromkeys(("lg_q", "lg_s"), len(features.LEGAL_CODES) + 1)
