@@ -267,7 +267,7 @@ def _buckets(docs: DataFrame, words: int, num: int, den: int, parts: int) -> Dat
 def _possible(buckets: DataFrame, profiles: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): stars of the ids in each bucket that pairs which may link connect; profiles: (id, profile or null)."""
     named = buckets.filter("not closed").select(F.xxhash64("ids").alias("bucket"), F.explode("ids").alias("id"))
-    members = named.join(profiles, "id")
+    members = named.join(profiles.hint("merge"), "id")  # exploded lists look small to Spark: without it they may be broadcast
     bins = shuffle_partitions(buckets.sparkSession, named.count(), 1 << 16)
     none = np.zeros(BINS + 1, np.uint16).tobytes()
 
@@ -335,7 +335,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         return docs.join(F.broadcast(wanted), "id")
     m = bloom.slots_for(n)
     words = keep(bloom.member_words(wanted, "id", m), "join-members")
-    return bloom.flag(docs, "id", words, m, "__kl_maybe").filter("__kl_maybe").drop("__kl_maybe").join(wanted, "id")
+    return bloom.flag(docs, "id", words, m, "__kl_maybe").filter("__kl_maybe").drop("__kl_maybe").join(wanted.hint("merge"), "id")
 
 
 def _settle(docs: DataFrame, members: DataFrame, words: int, num: int, den: int, bins: int) -> DataFrame:

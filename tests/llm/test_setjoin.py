@@ -179,3 +179,16 @@ def test_components_of_a_chain_and_stars(spark):
     assert all(got[i] == 1 for i in range(1, 61)) and all(got[100 + i] == 100 for i in range(50))
     assert got[302] == 300 and 200 not in got
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_members_of_buckets_are_not_gathered_on_the_driver(spark, monkeypatch):
+    """Far below the broadcast bound, as compressed lists of ids are; still they meet their profiles and texts by an exchange."""
+    profile = J.profile(np.arange(9, dtype=np.uint64)).tobytes()
+    buckets = spark.createDataFrame([([1, 2, 3], False), ([4, 5], True)], "ids array<long>, closed boolean")
+    profiles = spark.createDataFrame([(i, profile) for i in (1, 2, 3)], "id long, profile binary")
+    stars = J._possible(J.keep(buckets, "b"), J.keep(profiles, "p"), 80, 100)
+    assert "Broadcast" not in stars._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in stars.collect()} == {(1, 2), (1, 3), (4, 5)}
+    monkeypatch.setattr(J, "BROADCAST_ROWS", 0)
+    texts = J._texts_of(J.keep(spark.createDataFrame([(1, "a"), (9, "b")], "id long, text string"), "d"), J.keep(spark.createDataFrame([(1, 7)], "id long, family long"), "w"))
+    assert "SortMergeJoin" in texts._jdf.queryExecution().executedPlan().toString() and [tuple(r) for r in texts.collect()] == [(1, "a", 7)]
