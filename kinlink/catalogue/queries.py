@@ -16,7 +16,7 @@ from kinlink.operators.addresses import normalise_addresses
 from kinlink.operators.names import normalise_names
 from kinlink.operators.tokens import add_tokens
 from kinlink.plans import linkage
-from kinlink.plans.scratch import keep, scratch_dir, ship
+from kinlink.plans.scratch import keep, scratch_dir, ship, spread
 from kinlink.sources import tables
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,12 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def rounded_cosines(df: DataFrame) -> DataFrame:
+    """What follows from cosines of 9 digits, rounded to 12 as ``rounded`` does, without a decimal for every value: such
+    values lie far from any half of the 12th digit, so both ways give the same double. A zero has no sign."""
+    return df.select(*[(F.rint(F.col(c) * 1e12) / 1e12 + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 def short_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(index, queries): short normalised records with tokens."""
     r = _short_with_tokens(spark, sf_dir)
@@ -55,7 +61,7 @@ def short_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 
 def _short_with_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keep(add_tokens(A.view(spark, sf_dir, A.SHORT)), "short-tokens")
+    return keep(add_tokens(spread(A.view(spark, sf_dir, A.SHORT), "id")), "short-tokens")
 
 
 # ---------------------------------------------------------------- sources and sinks
@@ -219,8 +225,8 @@ def candidate_union(spark, sf_dir):
 
 @query(S.STAGE1)
 def stage1_features(spark, sf_dir):
-    c = keep(_candidates(spark, sf_dir), "candidates")
-    return rounded(features.stage1(c, linkage.FLAGS).drop(*linkage.FLAGS, "rk_n", "rk_a", "rk_c"), 12)
+    c = retrieval.candidates(*short_records(spark, sf_dir), describe=linkage.stage1_of_kinds)
+    return rounded_cosines(c.drop(*linkage.FLAGS, *retrieval.RANKS))
 
 
 @query(S.CASCADE)

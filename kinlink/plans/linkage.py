@@ -65,9 +65,14 @@ def normalise(records: DataFrame) -> DataFrame:
     return add_tokens(normalise_addresses(named, "business_address", "country"))
 
 
+def stage1_of_kinds(c: DataFrame) -> DataFrame:
+    """The stage-1 features of the candidates of each kind of query (q): once a kind, not once a record."""
+    return features.stage1(c, FLAGS, "q")
+
+
 def candidate_features(index: DataFrame, queries: DataFrame, **cap) -> DataFrame:
     """Candidates of the queries with the stage-1 features; both sides normalised."""
-    c = features.stage1(retrieval.candidates(index, queries, **cap), FLAGS)
+    c = retrieval.candidates(index, queries, describe=stage1_of_kinds, **cap)
     return c.join(features.query_meta(queries).withColumnRenamed("id", "qi"), "qi", "left")
 
 

@@ -100,6 +100,12 @@ def ship(spark: SparkSession) -> None:
     sc._kinlink_shipped = True
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out by ``key`` to all cores, if its files give fewer tasks: a small file is a single one, whatever is made of its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def shuffle_partitions(spark: SparkSession, rows: int = 0, rows_per_task: int = 2_000_000) -> int:
     """The session's shuffle partitions, or more if that many rows would overfill them."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_task))

@@ -1,4 +1,5 @@
 import os
+import random
 import shutil
 import subprocess
 import sys
@@ -9,6 +10,8 @@ import pytest
 
 
 from kinlink import catalogue
+from kinlink.catalogue.queries import _short_with_tokens, rounded, rounded_cosines
+from kinlink.plans.scratch import spread
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SF = "/root/testdata/sf0.001"
@@ -50,6 +53,25 @@ def test_every_part_and_supplier_of_an_order_is_compared(spark, duck, name):
     assert got == set(duck.execute("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem").fetchall())
 
 
+def test_a_small_file_is_worked_on_by_all_cores(spark):
+    """Parts are one small file; their tokens are made, and written, by more than one task."""
+    assert len(spark.read.parquet(f"{SF}/part.parquet").inputFiles()) == 1
+    assert len(_short_with_tokens(spark, SF).inputFiles()) > 1
+    many = spark.range(100).repartition(9)
+    assert spread(many, "id") is many
+
+
+def test_cosines_are_rounded_as_all_doubles(spark):
+    """Means and differences of cosines of 9 digits, off by an ulp or not; a zero has no sign."""
+    rnd = random.Random(5)
+    pairs = [(round(rnd.random(), 9), round(rnd.random(), 9)) for _ in range(5000)] + [(0.3, 0.1), (0.2, 0.2), (0.0, 0.0), (1.0, 1.0), (0.000000001, 0.0)]
+    means = [(a + b) / 2 for a, b in pairs]
+    rows = [(a, m, m - n) for (a, _), m, n in zip(pairs, means, [*means[1:], means[0]])] + [(0.0, -1e-17, 5e-17)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = [tuple(r) for r in rounded_cosines(df).collect()]
+    assert repr(got) == repr([tuple(r) for r in rounded(df, 12).collect()])
+
+
 def test_imports_without_the_corpus_operators(tmp_path):
     """The rest stands alone when the llm folders and the pipeline are deleted."""
     shutil.copytree(f"{ROOT}/kinlink", tmp_path / "kinlink", ignore=shutil.ignore_patterns("llm", "__pycache__"))
